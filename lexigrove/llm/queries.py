@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe
+from . import byte_bpe, language_id
 from .common import documents
 from .exact_dedup import exact_groups
 from .line_dedup import drop_lines
@@ -21,17 +21,27 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
-def _byte_vocabulary() -> tuple[str, str]:
+def byte_vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return byte_bpe.digests(documents(spark, sf_dir), *_byte_vocabulary())
+    return byte_bpe.digests(documents(spark, sf_dir), *byte_vocabulary())
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op7_exact_dedup, op8_byte_bpe)}
+def piece_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(documents(spark, sf_dir), piece_vocabulary())
+
+
+QUERIES = {f.__name__: f for f in (op5_line_dedup, op7_exact_dedup, op8_byte_bpe, op10_language_id)}
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
