@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, pii
+from . import byte_bpe, fingerprint, language_id, pii
 from .common import documents
 from .exact_dedup import exact_groups
 from .line_dedup import drop_lines
@@ -45,7 +45,29 @@ def op6_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op5_line_dedup, op6_pii_weak_supervision, op7_exact_dedup, op8_byte_bpe, op10_language_id)}
+def op9_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_pairs(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+    )
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op5_line_dedup,
+        op6_pii_weak_supervision,
+        op7_exact_dedup,
+        op8_byte_bpe,
+        op9_oph_fingerprint,
+        op10_language_id,
+    )
+}
 
 _SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _LOWERED = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
