@@ -5,12 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, language_id, pii
+from . import byte_bpe, fingerprint, language_id, mixing, pii
 from .common import documents
 from .exact_dedup import exact_groups
 from .line_dedup import drop_lines
 
 
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "source")
+    return mixing.mix(docs).select(
+        "doc_id",
+        "source",
+        F.col("_block").alias("block"),
+        F.col("_row").alias("row"),
+        F.col("_slot").alias("slot"),
+        F.col("_release").alias("release"),
+        F.col("_deadline").alias("deadline"),
+        F.col("_in_mix").alias("in_mix"),
+    )
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_lines(documents(spark, sf_dir)).select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
@@ -60,6 +74,7 @@ def op9_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op4_pfair_mixing,
         op5_line_dedup,
         op6_pii_weak_supervision,
         op7_exact_dedup,
