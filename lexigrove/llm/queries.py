@@ -9,6 +9,11 @@ from . import byte_bpe, fingerprint, language_id, mixing, pii
 from .common import documents
 from .exact_dedup import exact_groups
 from .line_dedup import drop_lines
+from .ngram_join import similar_sets
+
+
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_sets(documents(spark, sf_dir), size=4, percent=85)
 
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +79,7 @@ def op9_oph_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_ngram_jaccard_join,
         op4_pfair_mixing,
         op5_line_dedup,
         op6_pii_weak_supervision,
