@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_of, lower_ascii, order_id, text_of
+from .common import SPACES, id_of, lower_ascii, materialise, order_id, text_of
 
 #: A key with this share of all lines is hot; so there are at most 1 / HOT_SHARE.
 HOT_SHARE = 1 / 2000
@@ -49,7 +49,7 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is a hash of the text, so rows that share an id but not the text have
     bitmaps of their own.
     """
-    lines = _lines(_rows(df, id_col, text_col), min_chars)
+    lines = materialise(_lines(_rows(df, id_col, text_col), min_chars), "line-hashes")
     found = lines.agg(
         F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_h1, 1000, {TRACKED})").alias("top")
     ).first()
