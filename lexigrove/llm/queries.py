@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprint, katz, language_id, mixing, pii
+from . import byte_bpe, fingerprint, katz, language_id, mixing, paragraphs, pii
 from .common import documents
 from .exact_dedup import exact_groups
 from .line_dedup import drop_lines
@@ -16,6 +16,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_sets(documents(spark, sf_dir), size=4, percent=85)
 
 
+def op2_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(documents(spark, sf_dir))
+
+
 def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.held_out_scores(documents(spark, sf_dir))
 
@@ -84,6 +88,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard_join,
+        op2_paragraph_minhash,
         op3_katz_backoff,
         op4_pfair_mixing,
         op5_line_dedup,
