@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import id_of, order_id, text_of
 
@@ -164,6 +165,31 @@ def encode(
     return out.select(id_of(out["_id"]).alias(id_col), *[c for c in out.columns if c != "_id"])
 
 
+def _token_batches(batches, rank_file: str, pattern: str):
+    import pyarrow as pa
+
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        bpe = load(rank_file, pattern)
+        for at in _runs(texts):
+            part = texts[at]
+            ids = bpe.encode(part)
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "_id": batch.column(0).slice(at.start, len(part)),
+                    "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
+                    "round_trip": [bpe.decode(x) == t.encode() for t, x in zip(part, ids, strict=True)],
+                }
+            )
+
+
+def tokens(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, ids, and whether decoding the ids gave the text back."""
+    rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    out = rows.mapInArrow(lambda batches: _token_batches(batches, rank_file, pattern), "_id long, ids array<int>, round_trip boolean")
+    return out.select(id_of(out["_id"]).alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+
+
 def _digest_batches(batches, rank_file: str, pattern: str):
     import pyarrow as pa
 

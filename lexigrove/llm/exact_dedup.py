@@ -86,6 +86,14 @@ def exact_groups(
 
 
 def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that stay, with all their columns."""
-    stays = exact_groups(df, id_col, text_col).where("kept").select(order_id(id_col).alias("_stay")).distinct()
-    return df.join(stays, order_id(id_col) == F.col("_stay"), "left_semi")
+    """The rows that stay, once each, with all their columns."""
+    text = text_of(text_col)
+    norm = F.translate(text, SPACES, "").cast("binary")
+    keyed = df.select(
+        F.struct("*").alias("_row"), order_id(id_col).alias("_own"), F.sha2(norm, 256).alias("_sha"), F.char_length(text).alias("_len")
+    )
+    groups = exact_groups(df.select(id_col, text_col), id_col, text_col)
+    stays = groups.where("kept").select(order_id(id_col).alias("_own"), F.col("text_sha256").alias("_sha")).distinct()
+    # Rows that repeat a row that stays differ from it in nothing that counts, or are shorter.
+    longest = F.max_by("_row", "_len").alias("_row")
+    return keyed.join(stays, ["_own", "_sha"], "left_semi").groupBy("_own", "_sha").agg(longest).select("_row.*")

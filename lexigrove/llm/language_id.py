@@ -300,6 +300,32 @@ def predict(df: DataFrame, model, vocabulary: str, id_col: str = "doc_id", text_
     )
 
 
+def _keep_batches(batches, model, vocabulary: str, text_at: int, least: float):
+    import pyarrow as pa
+
+    languages, prior, table = model.value
+    scorer = Scorer(pieces(vocabulary), table) if languages else None
+    for batch in batches:
+        texts = batch.column(text_at).to_pylist()
+        keep = []
+        for logs in (x for lo in range(0, len(texts), 500) for x in (scorer.score(texts[lo : lo + 500]) if scorer else [])):
+            logs = None if logs is None else logs + prior
+            keep.append(logs is not None and 1.0 / np.exp(logs - logs.max()).sum() >= least)
+        if keep:
+            yield batch.filter(pa.array(keep))
+
+
+def keep_identified(
+    df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5
+) -> DataFrame:
+    """The rows whose language is told with a score of ``least`` or more, with all
+    their columns; the model is that of identify().  Texts without letters go."""
+    model = train(df.where(fold(id_col, 3) != 1), vocabulary, id_col, text_col, lang_col)
+    shared = df.sparkSession.sparkContext.broadcast(model)  # pieces of the vocabulary x languages
+    at = df.columns.index(text_col)
+    return df.mapInArrow(lambda batches: _keep_batches(batches, shared, vocabulary, at, least), df.schema)
+
+
 def identify(
     df: DataFrame,
     vocabulary: str,

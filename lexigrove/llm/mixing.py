@@ -107,12 +107,12 @@ def mix(
     frame: int = FRAME,
     largest: float = LARGEST_SHARE,
 ) -> DataFrame:
-    """All rows and columns, with _block, _row, _slot, _release, _deadline and _in_mix.
+    """All rows as a struct ``row``, with block, place, slot, release, deadline and in_mix.
 
-    Order by (_slot, _row) is the mix.  Without ``weights``, targets are the
+    Order by (slot, place) is the mix.  Without ``weights``, targets are the
     natural shares with none above ``largest``; the mix then lasts until every source
     below it is used up, so only the surplus of larger ones is left out
-    (_in_mix false).  With ``weights`` (by source), it ends where a source
+    (in_mix false).  With ``weights`` (by source), it ends where a source
     first runs out; sources without a weight are not in the mix and have no slot.
 
     Rows of a source are taken in the order of a hash of the id.  Null is a source
@@ -138,11 +138,11 @@ def mix(
 
     by_hash = F.xxhash64(order_id(id_col))
     part = F.pmod(by_hash, F.lit(PARTS))
-    numbered = df.select("*", source.alias("_source"), by_hash.alias("_hash"), part.alias("_part"))
+    numbered = df.select(F.struct("*").alias("row"), order_id(id_col).alias("_id"), source.alias("_source"), by_hash.alias("_hash"), part.alias("_part"))
     sizes = numbered.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_source", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_source", "_part").orderBy("_hash", order_id(id_col))
+    inside = Window.partitionBy("_source", "_part").orderBy("_hash", "_id")
     rank = F.col("_offset") + F.row_number().over(inside) - 1
     share = spark.createDataFrame([(s, q) for s, q in slots.items()], "_source string, _q long")
     table = spark.createDataFrame(plan, "_source string, _k long, _at long, _from long, _to long")
@@ -153,18 +153,18 @@ def mix(
         numbered.join(offsets, ["_source", "_part"])
         .withColumn("_rank", rank)
         .withColumn("_block", F.floor(F.col("_rank") / block_rows).cast("long"))
-        .withColumn("_row", (F.col("_rank") % block_rows).cast("int"))
+        .withColumn("place", (F.col("_rank") % block_rows).cast("int"))
         .join(share, "_source", "left")
         .withColumn("_k", F.col("_block") % F.col("_q"))
         .join(table, ["_source", "_k"], "left")
         .select(
-            *[numbered[c] for c in df.columns],
-            "_block",
-            "_row",
-            (turn + F.col("_at")).alias("_slot"),
-            (turn + F.col("_from")).alias("_release"),
-            (turn + F.col("_to")).alias("_deadline"),
-            F.coalesce(turn + F.col("_at") < end, F.lit(False)).alias("_in_mix"),
+            "row",
+            F.col("_block").alias("block"),
+            "place",
+            (turn + F.col("_at")).alias("slot"),
+            (turn + F.col("_from")).alias("release"),
+            (turn + F.col("_to")).alias("deadline"),
+            F.coalesce(turn + F.col("_at") < end, F.lit(False)).alias("in_mix"),
         )
     )
 
@@ -173,8 +173,8 @@ def mixed(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", **h
     """The rows of the mix, with the columns of ``df``, in the order of the mix."""
     return (
         mix(df, id_col, source_col, **how)
-        .where("_in_mix")
-        .repartitionByRange("_slot", "_row")
-        .sortWithinPartitions("_slot", "_row")
-        .select(*df.columns)
+        .where("in_mix")
+        .repartitionByRange("slot", "place")
+        .sortWithinPartitions("slot", "place")
+        .select("row.*")
     )

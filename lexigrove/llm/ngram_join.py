@@ -252,7 +252,7 @@ def similar_sets(
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
     """The rows that stay: one document of each component, with all their columns."""
-    found = similar_sets(df, id_col, text_col, size, percent)
-    own, group = order_id(id_col), order_id("component_id")
-    stays = found.select(own.alias("_own"), group.alias("_group")).where("_own = _group").select(F.col("_own").alias("_stay")).distinct()
-    return df.join(stays, order_id(id_col) == F.col("_stay"), "left_semi")
+    found = similar_sets(df.select(id_col, text_col), id_col, text_col, size, percent)
+    own = found.select(order_id(id_col).alias("_own"), order_id("component_id").alias("_group"))
+    stays = own.where("_own = _group").select("_own").distinct()
+    return df.select(F.struct("*").alias("_row"), order_id(id_col).alias("_own")).join(stays, "_own", "left_semi").select("_row.*")

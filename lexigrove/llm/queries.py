@@ -26,16 +26,7 @@ def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source")
-    return mixing.mix(docs).select(
-        "doc_id",
-        "source",
-        F.col("_block").alias("block"),
-        F.col("_row").alias("row"),
-        F.col("_slot").alias("slot"),
-        F.col("_release").alias("release"),
-        F.col("_deadline").alias("deadline"),
-        F.col("_in_mix").alias("in_mix"),
-    )
+    return mixing.mix(docs).select("row.doc_id", "row.source", "block", "place", "slot", "release", "deadline", "in_mix")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
