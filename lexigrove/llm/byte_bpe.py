@@ -17,7 +17,9 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import itertools
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +30,9 @@ from .common import id_of, order_id, text_of
 
 #: Characters that are encoded in one call of the library.
 CALL_CHARS = 1 << 18
+#: Pieces whose ids a worker remembers.
+REMEMBERED = 600_000
+_CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
 def byte_characters() -> list[str]:
@@ -70,24 +75,32 @@ class ByteBPE:
         for token, rank in ranks.items():
             self.table[rank] = token
         self.lengths = np.array([len(t) for t in self.table], np.int64)
+        self.known: dict[str, bytes] = {}
         self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text."""
-        out: list[np.ndarray] = []
-        for part in self._parts(texts):
-            for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                ids = np.array(found.ids, np.uint32)
-                exact = self.exact.encode_to_numpy(text, disallowed_special=())
-                out.append(ids if np.array_equal(ids, exact) else exact.astype(np.uint32))
-        return out
+        """The ids of each text.
+
+        A single space between two other characters always begins a match of the
+        pattern, so texts are cut there and each distinct piece is encoded once.
+        """
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        cut = [_CUT.split(t) for t in texts]
+        new = [p for p in dict.fromkeys(itertools.chain.from_iterable(cut)) if p not in known]
+        for part in self._parts(new):
+            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                exact = self.exact.encode_ordinary(piece)
+                known[piece] = np.array(found.ids if found.ids == exact else exact, "<u4").tobytes()
+        return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in cut]
 
     @staticmethod
-    def _parts(texts: list[str]) -> Iterator[list[str]]:
+    def _parts(pieces: list[str]) -> Iterator[list[str]]:
         part, chars = [], 0
-        for text in texts:
-            part.append(text)
-            chars += len(text)
+        for piece in pieces:
+            part.append(piece)
+            chars += len(piece)
             if chars >= CALL_CHARS:
                 yield part
                 part, chars = [], 0
@@ -139,7 +152,7 @@ def _encode_batches(batches, rank_file: str, pattern: str, want_offsets: bool):
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _runs(texts: list[str], chars: int = 4 << 20) -> Iterator[slice]:
+def _runs(texts: list[str], chars: int = 2 << 20) -> Iterator[slice]:
     start, total = 0, 0
     for i, text in enumerate(texts):
         total += len(text)
