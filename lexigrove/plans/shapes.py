@@ -58,11 +58,11 @@ def lookup_two_key(spark, d):
 
 @shape(
     "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey "
-    "LEFT JOIN orders ON o_custkey = c_custkey WHERE o_orderkey IS NULL AND n_regionkey = 1"
+    "LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'P' WHERE o_orderkey IS NULL AND n_regionkey = 1"
 )
 def candidates_no_kanji(spark, d):
     nation = table(spark, d, "nation").where("n_regionkey = 1")
-    ordered = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    ordered = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
     return (
         table(spark, d, "customer")
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
@@ -88,10 +88,10 @@ def candidates_three_way(spark, d):
 
 @shape(
     "SELECT l_orderkey, l_linenumber, p_name, s_name FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey "
-    "WHERE p_name LIKE '%1%' AND s_acctbal > 5000 AND l_quantity > 45"
+    "WHERE p_name LIKE '%ring%' AND s_acctbal > 5000 AND l_quantity > 45"
 )
 def contains_three_way(spark, d):
-    part = table(spark, d, "part").where(F.col("p_name").contains("1"))
+    part = table(spark, d, "part").where(F.col("p_name").contains("ring"))
     supplier = table(spark, d, "supplier").where("s_acctbal > 5000")
     return (
         table(spark, d, "lineitem")
@@ -133,9 +133,9 @@ def own_union_derived(spark, d):
     return own.select("c_custkey", "c_name").union(derived.select("c_custkey", "c_name")).distinct()
 
 
-@shape("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '[02468]$')")
+@shape("SELECT p_partkey, p_name FROM part WHERE regexp_matches(p_name, '(ring|g.ar)$')")
 def regex_scan(spark, d):
-    return table(spark, d, "part").where(F.col("p_name").rlike("[02468]$")).select("p_partkey", "p_name")
+    return table(spark, d, "part").where(F.col("p_name").rlike("(ring|g.ar)$")).select("p_partkey", "p_name")
 
 
 @shape(
@@ -419,20 +419,20 @@ def split_runs(spark, d):
 
 
 @shape(
-    "WITH r AS (SELECT p_partkey, unnest(regexp_extract_all(p_name, '[0-9]+|[^0-9]+')) AS run, generate_subscripts(regexp_extract_all(p_name, '[0-9]+|[^0-9]+'), 1) AS place FROM part), "
-    "o AS (SELECT *, sum(length(run)) OVER (PARTITION BY p_partkey ORDER BY place) AS stop FROM r) "
-    "SELECT p_partkey, CAST(stop - length(run) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM o WHERE regexp_matches(run, '^[0-9]')"
+    "WITH r AS (SELECT c_custkey, unnest(regexp_extract_all(c_name, '[0-9]+|[^0-9]+')) AS run, generate_subscripts(regexp_extract_all(c_name, '[0-9]+|[^0-9]+'), 1) AS place FROM customer), "
+    "o AS (SELECT *, sum(length(run)) OVER (PARTITION BY c_custkey ORDER BY place) AS stop FROM r) "
+    "SELECT c_custkey, CAST(stop - length(run) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM o WHERE regexp_matches(run, '^[0-9]')"
 )
 def char_groups(spark, d):
     """Runs of digits with offsets, without leaving the row."""
-    runs = F.regexp_extract_all("p_name", F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+    runs = F.regexp_extract_all("c_name", F.lit("[0-9]+|[^0-9]+"), F.lit(0))
     step = lambda acc, x: F.struct(
         (acc["at"] + F.char_length(x)).alias("at"),
         F.when(x.rlike("^[0-9]"), F.concat(acc["found"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.char_length(x)).alias("stop"))))).otherwise(acc["found"]).alias("found"),
     )
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("found"))
     groups = F.aggregate(runs, zero, step, lambda acc: acc["found"])
-    return table(spark, d, "part").select("p_partkey", F.inline(groups)).select("p_partkey", F.col("start").cast("long"), F.col("stop").cast("long"))
+    return table(spark, d, "customer").select("c_custkey", F.inline(groups)).select("c_custkey", F.col("start").cast("long"), F.col("stop").cast("long"))
 
 
 @shape("SELECT o_orderkey, CAST(regexp_extract(CAST(o_orderkey AS VARCHAR), '[0-9]+') AS BIGINT) AS parsed FROM orders WHERE o_orderkey < 5000")
