@@ -79,38 +79,35 @@ def _overlap_batches(batches, numerator: int, denominator: int):
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """The pairs (a, b) of which the sets (id, items) have a Jaccard similarity of
-    numerator / denominator or more, exactly."""
+def verified(pairs: DataFrame, sets_of, numerator: int, denominator: int) -> DataFrame:
+    """The pairs (a, b) of which the sets have a Jaccard similarity of
+    numerator / denominator or more, exactly.  ``sets_of(ids)`` gives (id, items)."""
+    pairs = materialise(pairs.select("a", "b"), "pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = materialise(sets_of(ids), "sets")
     return (
-        pairs.select("a", "b")
-        .join(sets.select(F.col("id").alias("a"), F.col("items").alias("_left")), "a")
+        pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("_left")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("items").alias("_right")), "b")
         .select("a", "b", "_left", "_right")
         .mapInArrow(lambda batches: _overlap_batches(batches, numerator, denominator), "a long, b long")
     )
 
 
-def links(postings: DataFrame, pairs_between, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+def links(postings: DataFrame, stars, pairs_between, sets_of, numerator: int, denominator: int) -> DataFrame:
     """Edges that have the same components as all links.
 
-    postings: (token, id, size, weight, ...), tokens that several ids share.
+    postings: (token, id, weight, ...), tokens that several ids share.
 
-    1. In each token's list every id is compared with one hub only, the id of the
-       largest weight: as many pairs as postings.
+    1. In each token's list every id is compared with one hub only, the posting of
+       the largest weight: ``stars(postings with hub)`` picks from as many pairs as
+       there are postings.
     2. Ids that these links put in one component need no more comparison.  For the
        rest, ``pairs_between(postings with component)`` gives all candidate pairs of
        different components, so no link between two components is missed.
     """
-    hub = postings.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), "size")).alias("hub"))
-    similar = F.least("size", F.col("hub.size")) * denominator >= F.greatest("size", F.col("hub.size")) * numerator
-    stars = (
-        postings.join(hub, "token")
-        .where(similar & (F.col("id") != -F.col("hub.minus")))
-        .select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b"))
-        .distinct()
-    )
-    first = materialise(verified(stars, sets, numerator, denominator), "star-links")
+    rest = [c for c in postings.columns if c not in ("token", "id", "weight")]
+    hub = postings.groupBy("token").agg(F.max(F.struct("weight", (-F.col("id")).alias("minus"), *rest)).alias("hub"))
+    first = materialise(verified(stars(postings.join(hub, "token").where("id <> -hub.minus")), sets_of, numerator, denominator), "star-links")
     labels = connected_components(first).select(F.col("node").alias("id"), "component")
     placed = postings.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = (
@@ -119,6 +116,5 @@ def links(postings: DataFrame, pairs_between, sets: DataFrame, numerator: int, d
         .where("_low <> _high")
         .select("token")
     )
-    rest = materialise(placed.join(mixed, "token"), "open-postings")
-    second = verified(pairs_between(rest), sets, numerator, denominator)
-    return first.unionByName(second)
+    open_ones = materialise(placed.join(mixed, "token"), "open-postings")
+    return first.unionByName(verified(pairs_between(open_ones), sets_of, numerator, denominator))

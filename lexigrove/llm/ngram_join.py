@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from .common import id_of, materialise, order_id, text_of
 from .linking import connected_components, id_filter, links, may_hold
 
-#: Buckets of the counts that order shingles; a fixed 4 MB.
-SKETCH_BITS = 20
-SLICE = 1 << 14
+#: Buckets of the counts that order shingles; a fixed 16 MB.
+SKETCH_BITS = 23
+SLICE = 1 << 17
+#: Larger counts are alike.
+MOST = (1 << 16) - 1
 #: Largest number of common prefix shingles that is asked for.
 MOST_MATCHES = 8
 #: Cost of verifying one shingle, in units of reading one posting.
@@ -44,16 +46,16 @@ def _sketch_batches(batches, size: int):
     """Counts of shingles by hash bucket of a whole partition, in packed slices."""
     import pyarrow as pa
 
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.int32)
     held, waiting = 0, []
     for _, _, found in _sets(batches, size):
         waiting.append(found >> np.uint64(64 - SKETCH_BITS))
         held += len(found)
-        if held > 1 << 20:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << SKETCH_BITS)
+        if held > 1 << 21:
+            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
             held, waiting = 0, []
     if waiting:
-        counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << SKETCH_BITS)
+        counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
     if counts.any():
         parts = counts.reshape(-1, SLICE)
         yield pa.RecordBatch.from_pydict(
@@ -70,8 +72,9 @@ def _add_batches(batches):
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for part, packed in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            counts = np.frombuffer(zlib.decompress(packed.as_py()), np.int64)
+            counts = np.frombuffer(zlib.decompress(packed.as_py()), np.int32)
             total[part] = total[part] + counts if part in total else counts
+            total[part] = np.minimum(total[part], MOST)
     if total:
         yield pa.RecordBatch.from_pydict(
             {"part": pa.array(list(total), pa.int32()), "counts": pa.array([zlib.compress(c.tobytes(), 1) for c in total.values()], pa.binary())}
@@ -87,10 +90,10 @@ def shingle_counts(rows: DataFrame, size: int) -> np.ndarray:
         .mapInArrow(_add_batches, schema)
         .collect()
     )
-    counts = np.zeros((1 << SKETCH_BITS) // SLICE * SLICE, np.int64).reshape(-1, SLICE)
-    for part, packed in parts:
-        counts[part] += np.frombuffer(zlib.decompress(packed), np.int64)
-    return np.minimum(counts.reshape(-1), (1 << 31) - 1).astype(np.int32)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint16).reshape(-1, SLICE)
+    for part, packed in parts:  # one row for each slice
+        counts[part] = np.frombuffer(zlib.decompress(packed), np.int32)
+    return counts.reshape(-1)
 
 
 def _prefix_batches(batches, counts, size: int, percent: int):
@@ -159,28 +162,43 @@ def _best_matches(postings: DataFrame, percent: int) -> DataFrame:
     return postings.groupBy("id", "size").agg(*sums).select("id", best.alias("matches"))
 
 
-def _pairs_between(percent: int):
-    """Candidate pairs of different components by the multi-match prefix condition."""
+def _enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that share as many tokens as their prefixes must.
+
+    pairs: x_ and y_ id, size, pos, matches, a row for each common token.
+    """
+    need = F.ceil((F.col("x_size") + F.col("y_size")) * percent / (100 + percent))
+    matches = F.least("x_matches", "y_matches")
+    close = (
+        (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent)
+        & (F.col("x_pos") < F.col("x_size") - need + matches)
+        & (F.col("y_pos") < F.col("y_size") - need + matches)
+    )
+    return (
+        pairs.where(close)
+        .groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
+        .agg(F.count(F.lit(1)).alias("common"), F.max(matches).alias("matches"))
+        .where("common >= matches")
+        .select("a", "b")
+    )
+
+
+_SIDE = ("id", "size", "pos", "matches")
+
 
+def _stars(percent: int):
     def pairs(postings: DataFrame) -> DataFrame:
-        x = postings.select("token", *[F.col(c).alias(f"x_{c}") for c in ("id", "size", "pos", "matches", "component")])
-        y = postings.select("token", *[F.col(c).alias(f"y_{c}") for c in ("id", "size", "pos", "matches", "component")])
-        need = F.ceil((F.col("x_size") + F.col("y_size")) * percent / (100 + percent))
-        matches = F.least("x_matches", "y_matches")
-        close = (
-            (F.col("x_component") < F.col("y_component"))
-            & (F.least("x_size", "y_size") * 100 >= F.greatest("x_size", "y_size") * percent)
-            & (F.col("x_pos") < F.col("x_size") - need + matches)
-            & (F.col("y_pos") < F.col("y_size") - need + matches)
-        )
-        return (
-            x.join(y, "token")
-            .where(close)
-            .groupBy(F.col("x_id").alias("a"), F.col("y_id").alias("b"))
-            .agg(F.count(F.lit(1)).alias("common"), F.max(matches).alias("matches"))
-            .where("common >= matches")
-            .select("a", "b")
-        )
+        hub = [(-F.col("hub.minus")).alias("y_id"), *[F.col(f"hub.{c}").alias(f"y_{c}") for c in _SIDE[1:]]]
+        return _enough(postings.select(*[F.col(c).alias(f"x_{c}") for c in _SIDE], *hub), percent)
+
+    return pairs
+
+
+def _pairs_between(percent: int):
+    def pairs(postings: DataFrame) -> DataFrame:
+        x = postings.select("token", *[F.col(c).alias(f"x_{c}") for c in (*_SIDE, "component")])
+        y = postings.select("token", *[F.col(c).alias(f"y_{c}") for c in (*_SIDE, "component")])
+        return _enough(x.join(y, "token").where("x_component < y_component"), percent)
 
     return pairs
 
@@ -230,11 +248,12 @@ def similar_sets(
     last = F.col("size") - F.ceil(F.col("size") * percent / 100) + F.col("matches")
     adaptive = materialise(shared.join(chosen, "id").where(F.col("pos") < last), "adaptive-postings")
 
-    wanted = spark.sparkContext.broadcast(id_filter(adaptive.select("id").distinct(), "id"))
-    sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted, size), "id long, items array<long>")
-    sets = materialise(sets.join(adaptive.select("id").distinct(), "id", "left_semi"), "sets")
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(id_filter(ids, "id"))
+        sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted, size), "id long, items array<long>")
+        return sets.join(ids, "id", "left_semi")
 
-    found = connected_components(links(adaptive, _pairs_between(percent), sets, percent, 100))
+    found = connected_components(links(adaptive, _stars(percent), _pairs_between(percent), sets_of, percent, 100))
     labelled = classes.select("d1", "d2", "class_id", "members").join(
         found.select(F.col("node").alias("class_id"), "component"), "class_id", "left"
     )

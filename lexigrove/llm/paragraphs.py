@@ -207,6 +207,10 @@ def _node_filter(nodes: DataFrame, column: str):
     return nodes.sparkSession.sparkContext.broadcast(out)
 
 
+def _stars(postings: DataFrame) -> DataFrame:
+    return postings.select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b")).distinct()
+
+
 def _pairs_between(postings: DataFrame) -> DataFrame:
     x = postings.select("token", F.col("id").alias("a"), F.col("component").alias("_x"))
     y = postings.select("token", F.col("id").alias("b"), F.col("component").alias("_y"))
@@ -218,12 +222,14 @@ def similar_lines(rows: DataFrame) -> DataFrame:
     bands = rows.mapInArrow(_band_batches, "token long, id long")
     several = bands.groupBy("token").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low <> _high")
     postings = bands.join(several.select("token"), "token").distinct()
-    postings = materialise(postings.select("token", "id", F.lit(1).alias("size"), F.lit(0).alias("weight")), "paragraph-bands")
-    ids = postings.select("id").distinct()
-    wanted = _node_filter(ids, "id")
-    sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted), "id long, items array<long>")
-    sets = materialise(sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items")), "paragraph-sets")
-    return connected_components(links(postings, _pairs_between, sets, PERCENT, 100))
+    postings = materialise(postings.select("token", "id", F.lit(0).alias("weight")), "paragraph-bands")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = _node_filter(ids, "id")
+        sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted), "id long, items array<long>")
+        return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items"))
+
+    return connected_components(links(postings, _stars, _pairs_between, sets_of, PERCENT, 100))
 
 
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
