@@ -40,7 +40,7 @@ GROUP_DOCS = 1 << 15
 #: Counts up to this are discounted by Good-Turing.
 DISCOUNTED = 5
 #: Tokens in a part.
-PART_TOKENS = 3_000_000
+PART_TOKENS = 1_200_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _TRAIN = np.uint16(1 << 15)
 _CONTEXT = np.uint64(16)  # contexts are known by the upper 48 bits of their hash
