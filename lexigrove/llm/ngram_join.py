@@ -152,8 +152,11 @@ def _set_batches(batches, wanted, size: int):
 
 
 def _best_matches(postings: DataFrame, percent: int) -> DataFrame:
-    """(id, matches): the number of common prefix shingles that costs least."""
-    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    """(id, matches): the number of common prefix shingles that costs least.
+
+    The prefix is that for a partner of equal size, as most partners are about as large.
+    """
+    first = F.col("size") - F.ceil(F.col("size") * 2 * percent / (100 + percent)) + 1
     sums = [F.sum(F.when(F.col("pos") < first + k, F.col("listed") - 1).otherwise(0)).alias(f"s{k + 1}") for k in range(MOST_MATCHES)]
     cost = lambda k: F.col(f"s{k}") * (1 + F.col("size") * VERIFY_COST / k)
     need = F.greatest(F.lit(1), F.ceil(F.col("size") * percent / 100))
