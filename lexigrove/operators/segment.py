@@ -9,6 +9,7 @@ Equal runs are solved once.
 from __future__ import annotations
 
 import bisect
+import functools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,6 +20,7 @@ from ..functions import tables as t
 from ..functions import text as tx
 from ..functions.romaji import DEFAULT, romanize
 from ..sources.lexicon import Lexicon
+from . import pairs
 from .lookups import Lookups
 
 # Fixed values of the scores.
@@ -108,6 +110,11 @@ def length_weight(n: Column, table: tuple[int, ...]) -> Column:
 
 def score(final: Column) -> Column:
     """The score of a plain word from word_features; ``final``: it ends the run."""
+    return analysis(final)["score"]
+
+
+def analysis(final: Column) -> Column:
+    """score, solid (kanji or katakana), primary, common and long of a plain word."""
     kanji, root = F.col("kind") == "kanji", F.col("root_p")
     n = F.greatest(tx.mora_length(F.col("text")), F.lit(1))
     n_kanji = tx.count_class(F.col("text"), "kanji")
@@ -143,7 +150,10 @@ def score(final: Column) -> Column:
         primary,
         F.when(long, 10).when(secondary & ~kanji, 2).when(common_p & plain, 5).when(prefer_kana | (F.col("n_kanji") == 0), 3).otherwise(2),
     ).otherwise(0)
-    total = total + F.when(particle, 2 + F.when(common_p, 2 + n).otherwise(0) + F.when(final & primary, 5).otherwise(0)).otherwise(0)
+    semi_final = F.col("seq").isin(*pairs.SEMI_FINAL_PARTICLES)
+    closes = final & ~F.col("seq").isin(*pairs.NON_FINAL_PARTICLES)
+    closing = F.when(closes & primary, 5).when(closes & semi_final, 2).otherwise(0)
+    total = total + F.when(particle & (final | ~semi_final), 2 + F.when(common_p, 2 + n).otherwise(0) + closing).otherwise(0)
     ladder = (
         F.when(secondary, F.when(kanji & primary, 4).otherwise(2))
         .when(
@@ -161,22 +171,29 @@ def score(final: Column) -> Column:
     raised = F.greatest(F.when(F.col("archaic"), 3).otherwise(5), total) + F.when(long & ((n_kanji > 1) | (n > 4)), 2).otherwise(0)
     total = F.when(kanji, raised).otherwise(total)
     weight = F.when(kanji | katakana, length_weight(n, STRONG)).otherwise(length_weight(n, WEAK))
-    return (total * (weight + F.when(n_kanji > 1, (n_kanji - 1) * 5).otherwise(0))).cast("int")
+    value = total * (weight + F.when(n_kanji > 1, (n_kanji - 1) * 5).otherwise(0))
+    family = F.concat(F.array("seq"), F.transform(used, lambda c: c["from"]))
+    no_word = F.arrays_overlap(family, F.array(*map(F.lit, pairs.SKIPPED))) | (~final & F.col("seq").isin(*pairs.FINAL_PARTICLES))
+    return F.struct(
+        F.when(no_word, 0).otherwise(value).cast("int").alias("score"), (kanji | katakana).alias("solid"), primary.alias("primary"),
+        common_p.alias("common"), long.alias("long"), family.alias("seqs"), F.exists(used, lambda c: F.coalesce(c["neg"], F.lit(False))).alias("negative"),
+    )
 
 
 def candidates(words: DataFrame, features: DataFrame) -> DataFrame:
     """Scored words at their places in distinct runs: at least CUTOFF and half the best of the span."""
     at = spans(words).join(features, "text")
-    scored = at.withColumn("score", score(F.col("stop") == F.char_length("run"))).where(F.col("score") >= CUTOFF)
+    scored = at.withColumn("_a", analysis(F.col("stop") == F.char_length("run"))).withColumn("score", F.col("_a.score")).where(F.col("score") >= CUTOFF)
     best = F.max("score").over(Window.partitionBy("run", "start", "stop"))
     return scored.withColumn("_best", best).where("2 * score >= _best").drop("_best")
 
 
-def best_paths(n: int, segments: list[tuple[int, int, int]], beam: int = BEAM) -> list[tuple[int, list[int]]]:
+def best_paths(n: int, segments: list[tuple[int, int, int]], beam: int = BEAM, bonus=None) -> list[tuple[int, list[int]]]:
     """The best ``beam`` sequences of segments (start, stop, score), sorted by start.
 
-    A character that no segment covers costs GAP.  Two neighbours count at least one
-    more than the better of them.  Ties go to the sequence found first.
+    A character that no segment covers costs GAP.  Two neighbours count what they
+    do and bonus(i, j), but at least one more than the better of them.  Ties go to the
+    sequence found first.
     """
     kept: list[list[tuple[int, list[int]]]] = [[] for _ in segments]
     top: list[tuple[int, list[int]]] = []
@@ -195,7 +212,7 @@ def best_paths(n: int, segments: list[tuple[int, int, int]], beam: int = BEAM) -
             then, until, other = segments[j]
             if then < stop:
                 continue
-            pair = max(own + other, own + 1, other + 1)
+            pair = max(own + other + (bonus(i, j) if bonus else 0), own + 1, other + 1)
             for value, path in kept[i]:
                 total = value - own + pair + GAP * (then - stop)
                 offer(kept[j], total, [*path, j])
@@ -203,6 +220,14 @@ def best_paths(n: int, segments: list[tuple[int, int, int]], beam: int = BEAM) -
     return top
 
 
+def _rule_word(segment) -> pairs.Word:
+    best = segment["words"][0]
+    a = best["_a"]
+    return pairs.Word(
+        segment["start"], segment["stop"], best["text"], frozenset(a["seqs"]), frozenset(best["posi"]), a["solid"], a["primary"], a["common"], a["long"], a["negative"]
+    )
+
+
 _PATHS = "array<struct<score:int,path:array<int>>>"
 
 
@@ -212,7 +237,7 @@ def solve(words: DataFrame, features: DataFrame, beam: int = BEAM) -> DataFrame:
     segments: by start and stop, each with its words, best first; paths: the best
     ``beam``, as positions in segments.
     """
-    word = F.struct((-F.col("score")).alias("minus"), "ordinal", "kind", "seq", "text", "kana", "score")
+    word = F.struct((-F.col("score")).alias("minus"), "ordinal", "kind", "seq", "text", "kana", "score", "posi", "_a")
     by_span = candidates(words, features).groupBy("run", "start", "stop").agg(F.sort_array(F.collect_list(word)).alias("words"))
     segment = F.struct("start", "stop", "words")
     by_run = by_span.groupBy("run").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
@@ -223,7 +248,9 @@ def solve(words: DataFrame, features: DataFrame, beam: int = BEAM) -> DataFrame:
         out = []
         for text, found in zip(run, segments, strict=True):
             plain = [] if found is None else [(s["start"], s["stop"], s["words"][0]["score"]) for s in found]
-            out.append([{"score": v, "path": p} for v, p in best_paths(len(text), plain, beam)])
+            seen = [] if found is None else [_rule_word(s) for s in found]
+            worth = functools.cache(lambda i, j, seen=seen: pairs.value(seen[i], seen[j]))
+            out.append([{"score": v, "path": p} for v, p in best_paths(len(text), plain, beam, worth)])
         return pd.Series(out)
 
     return whole.withColumn("paths", paths("run", "segments"))

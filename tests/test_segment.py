@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from lexicon import ENTRIES  # noqa: E402
 
-from lexigrove.operators import segment  # noqa: E402
+from lexigrove.operators import pairs, segment  # noqa: E402
 from lexigrove.operators.lookups import Lookups  # noqa: E402
 from lexigrove.sources.lexicon import Lexicon, assemble  # noqa: E402
 
@@ -76,6 +76,18 @@ def test_best_paths():
     assert segment.best_paths(2, []) == [(-1000, [])]
 
 
+def test_pair_rules():
+    word = lambda text, seq, pos, at=0, **kw: pairs.Word(at, at + len(text), text, frozenset({seq}), frozenset(pos), **({"solid": True} | kw))
+    noun, ha = word("世界", 1, ["n"]), word("は", 2028920, ["prt"], 2, solid=False)
+    assert pairs.value(noun, ha) == 14
+    assert pairs.value(noun, word("は", 2028920, ["prt"], 3, solid=False)) == 0
+    assert pairs.value(word("え", 5, ["int"], solid=False), word("か", 6, ["prt"], 1, solid=False)) == -9
+    assert pairs.value(word("ね", 2029080, ["prt"], solid=False), word("世界", 1, ["n"], 1)) == -15
+    assert pairs.value(word("ゆっくり", 7, ["adv-to"], primary=True, solid=False), word("と", 1008490, ["prt"], 4, solid=False)) == 50
+    segments = [(0, 2, 30), (2, 3, 10)]
+    assert segment.best_paths(3, segments, 1, lambda i, j: 14) == [(54, [0, 1])]
+
+
 def test_tokens(spark, features):
     texts = spark.createDataFrame([(1, "Hello 世界！"), (2, "私は日本語を読んで"), (3, ""), (4, "私xセンター"), (5, None)], "id int, text string")
     out = segment.tokens(texts, features)
