@@ -20,7 +20,7 @@ from ..functions import tables as t
 from ..functions import text as tx
 from ..functions.romaji import DEFAULT, romanize
 from ..sources.lexicon import Lexicon
-from . import pairs
+from . import compounds, pairs
 from .lookups import Lookups
 
 # Fixed values of the scores.
@@ -28,6 +28,7 @@ LONGEST_WORD = 50
 GAP = -500
 CUTOFF = 5
 STRONG, WEAK = (1, 8, 24, 40, 60), (1, 4, 9, 16, 25, 36)
+TAIL, LONG_TAIL = (4, 9, 16, 24), (4, 12, 18, 24)
 COPULAE = (2089020,)
 WEAK_FORMS = (51, 52, 53, 54)
 BEAM = 5
@@ -113,8 +114,13 @@ def score(final: Column) -> Column:
     return analysis(final)["score"]
 
 
-def analysis(final: Column) -> Column:
-    """score, solid (kanji or katakana), primary, common and long of a plain word."""
+def analysis(final: Column, whole: Column | None = None, suffix_kind: Column | None = None) -> Column:
+    """score, solid (kanji or katakana), primary, common and long of a plain word.
+
+    As a root: ``whole`` is the text with its suffix, whose kind adds to the score.
+    A counter with its number (its only part of speech is ctr) is worth 5 at least.
+    """
+    root_only = whole is None
     kanji, root = F.col("kind") == "kanji", F.col("root_p")
     n = F.greatest(tx.mora_length(F.col("text")), F.lit(1))
     n_kanji = tx.count_class(F.col("text"), "kanji")
@@ -125,7 +131,7 @@ def analysis(final: Column) -> Column:
     used = F.when(secondary, conj).otherwise(F.filter(conj, lambda c: c["via"].isNull()))
     has = lambda kind: F.exists(used, lambda c: c["conj_type"] == kind)
     weak = lambda c: c["conj_type"].isin(*WEAK_FORMS) | ((c["conj_type"] == 9) & F.coalesce(c["neg"], F.lit(False)))
-    plain = root | ~F.forall(used, weak)
+    plain = root | F.lit(not root_only) | ~F.forall(used, weak)
     prefer_kana = F.col("kana_sense").isNotNull()
     particle, pronoun = F.array_contains(posi, "prt"), F.array_contains(posi, "pn")
     copula = F.col("seq").isin(*COPULAE) | F.exists(used, lambda c: c["from"].isin(*COPULAE))
@@ -138,7 +144,10 @@ def analysis(final: Column) -> Column:
     ord_ = F.when(looks_back & (F.size(sources) > 0), F.least("ord", F.array_min(F.transform(sources, lambda c: c["source_ord"])))).otherwise(F.col("ord"))
     popular = own_common & (common > 0) & (common < 10)
     threshold = (
-        F.when(kanji & ~prefer_kana & root & ~derived, 2).when(popular, 2).when(has(3) | has(9), 4).otherwise(3)
+        F.when(kanji & ~prefer_kana & ((root & ~derived) | (F.lit(not root_only) & has(13))), 2)
+        .when(popular, 2)
+        .when((has(3) | has(9)) & F.lit(root_only), 4)
+        .otherwise(3)
     )
     long = n > threshold
     interjection = ~long & (F.size(posi) == 1) & (F.get(posi, F.lit(0)) == "int")
@@ -155,7 +164,7 @@ def analysis(final: Column) -> Column:
     closing = F.when(closes & primary, 5).when(closes & semi_final, 2).otherwise(0)
     total = total + F.when(particle & (final | ~semi_final), 2 + F.when(common_p, 2 + n).otherwise(0) + closing).otherwise(0)
     ladder = (
-        F.when(secondary, F.when(kanji & primary, 4).otherwise(2))
+        F.when(secondary & F.lit(root_only), F.when(kanji & primary, 4).otherwise(2))
         .when(
             long | copula | (root & (kanji | (primary & (n > 2)))),
             F.when(common == 0, 10).when(~primary, F.greatest(15 - common, F.lit(10))).otherwise(F.greatest(20 - common, F.lit(10))),
@@ -171,7 +180,14 @@ def analysis(final: Column) -> Column:
     raised = F.greatest(F.when(F.col("archaic"), 3).otherwise(5), total) + F.when(long & ((n_kanji > 1) | (n > 4)), 2).otherwise(0)
     total = F.when(kanji, raised).otherwise(total)
     weight = F.when(kanji | katakana, length_weight(n, STRONG)).otherwise(length_weight(n, WEAK))
+    counts = (F.size(posi) == 1) & (F.get(posi, F.lit(0)) == "ctr") & (F.size(conj) == 0)
+    total = F.when(counts, F.greatest(F.lit(5), total)).otherwise(total)
     value = total * (weight + F.when(n_kanji > 1, (n_kanji - 1) * 5).otherwise(0))
+    if not root_only:
+        more = tx.mora_length(whole) - n
+        tail = F.when((n > 3) & (kanji | katakana), length_weight(more, LONG_TAIL)).otherwise(length_weight(more, TAIL))
+        constant, factor = compounds.rule_value(suffix_kind, "constant"), compounds.rule_value(suffix_kind, "factor")
+        value = value + total * tail + F.when(constant > 0, constant).otherwise(total * factor * more)
     family = F.concat(F.array("seq"), F.transform(used, lambda c: c["from"]))
     no_word = F.arrays_overlap(family, F.array(*map(F.lit, pairs.SKIPPED))) | (~final & F.col("seq").isin(*pairs.FINAL_PARTICLES))
     return F.struct(
@@ -180,10 +196,22 @@ def analysis(final: Column) -> Column:
     )
 
 
-def candidates(words: DataFrame, features: DataFrame) -> DataFrame:
-    """Scored words at their places in distinct runs: at least CUTOFF and half the best of the span."""
-    at = spans(words).join(features, "text")
-    scored = at.withColumn("_a", analysis(F.col("stop") == F.char_length("run"))).withColumn("score", F.col("_a.score")).where(F.col("score") >= CUTOFF)
+def candidates(words: DataFrame, features: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """Scored words at their places in distinct runs: at least CUTOFF and half the best of the span.
+
+    Words of the lexicon, numbers with counters, and with ``suffixes`` (compounds.suffix_forms) roots with a suffix.
+    """
+    every = spans(words)
+    placed = every.join(features, "text")
+    at_end = F.col("stop") == F.char_length("run")
+    simple = placed.unionByName(compounds.with_counters(placed, every)).withColumn("_a", analysis(at_end))
+    scored = simple.withColumn("parts", F.array("seq"))
+    if suffixes is not None:
+        roots = compounds.with_suffixes(placed, every, suffixes)
+        made = roots.withColumn("_a", analysis(F.lit(False), F.col("whole"), F.col("suffix_kind"))).withColumn("parts", F.array("seq", "suffix_seq"))
+        made = made.withColumns({"text": F.col("whole"), "kana": F.col("whole_kana"), "stop": F.col("whole_stop"), "kind": F.lit("compound")})
+        scored = scored.unionByName(made.select(*scored.columns))
+    scored = scored.withColumn("score", F.col("_a.score")).where(F.col("score") >= CUTOFF)
     best = F.max("score").over(Window.partitionBy("run", "start", "stop"))
     return scored.withColumn("_best", best).where("2 * score >= _best").drop("_best")
 
@@ -224,21 +252,21 @@ def _rule_word(segment) -> pairs.Word:
     best = segment["words"][0]
     a = best["_a"]
     return pairs.Word(
-        segment["start"], segment["stop"], best["text"], frozenset(a["seqs"]), frozenset(best["posi"]), a["solid"], a["primary"], a["common"], a["long"], a["negative"]
+        segment["start"], segment["stop"], best["text"], frozenset(a["seqs"]), frozenset(best["posi"]), a["solid"], a["primary"], a["common"], a["long"], a["negative"], tuple(best["parts"])
     )
 
 
 _PATHS = "array<struct<score:int,path:array<int>>>"
 
 
-def solve(words: DataFrame, features: DataFrame, beam: int = BEAM) -> DataFrame:
+def solve(words: DataFrame, features: DataFrame, beam: int = BEAM, suffixes: DataFrame | None = None) -> DataFrame:
     """(run, segments, paths) of distinct runs.
 
     segments: by start and stop, each with its words, best first; paths: the best
     ``beam``, as positions in segments.
     """
-    word = F.struct((-F.col("score")).alias("minus"), "ordinal", "kind", "seq", "text", "kana", "score", "posi", "_a")
-    by_span = candidates(words, features).groupBy("run", "start", "stop").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    word = F.struct((-F.col("score")).alias("minus"), "ordinal", "kind", "seq", "text", "kana", "score", "posi", "_a", "parts")
+    by_span = candidates(words, features, suffixes).groupBy("run", "start", "stop").agg(F.sort_array(F.collect_list(word)).alias("words"))
     segment = F.struct("start", "stop", "words")
     by_run = by_span.groupBy("run").agg(F.sort_array(F.collect_list(segment)).alias("segments"))
     whole = words.join(by_run, "run", "left")
@@ -256,13 +284,13 @@ def solve(words: DataFrame, features: DataFrame, beam: int = BEAM) -> DataFrame:
     return whole.withColumn("paths", paths("run", "segments"))
 
 
-def tokens(texts: DataFrame, features: DataFrame, text_col: str = "text", method: str = DEFAULT, beam: int = BEAM) -> DataFrame:
+def tokens(texts: DataFrame, features: DataFrame, text_col: str = "text", method: str = DEFAULT, beam: int = BEAM, suffixes: DataFrame | None = None) -> DataFrame:
     """The best segmentation of every text: its columns, run_no, token_no, is_word, token, seq, kana, romaji, score.
 
     Text between words, also inside runs, is a token that is no word.
     """
     split = runs(texts, text_col)
-    solved = solve(split.where("is_word").select("run").distinct(), features, beam)
+    solved = solve(split.where("is_word").select("run").distinct(), features, beam, suffixes)
 
     @F.pandas_udf(StringType())
     def spell(kana: pd.Series) -> pd.Series:

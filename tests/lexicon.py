@@ -12,6 +12,9 @@ ENTRIES = [
         "seq": 10_000_001, "kanji": [("読んで", None)], "kana": [("よんで", None)],
         "conjugations": [(7, None, 3, "v5m", False, False, [("読んで", "読む"), ("よんで", "よむ")])],
     },
+    {"seq": 10_000_002, "kanji": [("読み", None)], "kana": [("よみ", None)], "conjugations": [(7, None, 13, "v5m", None, None, [("読み", "読む"), ("よみ", "よむ")])]},
+    {"seq": 20, "kana": [("たい", 3)], "senses": [(["aux-adj"], [], ["want to"])]},
+    {"seq": 21, "kana": [("いる", 1)], "senses": [(["v1"], [], ["to be doing"])]},
     {"seq": 8, "kanji": [("私", 1)], "kana": [("わたし", 1), ("わたくし", 2)], "senses": [(["pn"], [], ["I", "me"])]},
     {"seq": 9, "kanji": [("有る", 4)], "kana": [("ある", 4)], "senses": [(["v5r-i"], ["uk"], ["to be"])]},
     {"seq": 10, "kanji": [("古語", None)], "kana": [("ふるご", None)], "senses": [(["n"], ["arch"], ["old word"])]},

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 from lexicon import ENTRIES  # noqa: E402
 
-from lexigrove.operators import pairs, segment  # noqa: E402
+from lexigrove.functions import counting  # noqa: E402
+from lexigrove.operators import compounds, pairs, segment  # noqa: E402
 from lexigrove.operators.lookups import Lookups  # noqa: E402
 from lexigrove.sources.lexicon import Lexicon, assemble  # noqa: E402
 
@@ -44,11 +45,11 @@ def test_lookups(spark, lexicon):
     assert get(look.texts_by_text(keys(spark, ["読んで"], "text string"), "kanji", root_only=True), "seq") == []
     assert get(look.texts_conjugated_from(keys(spark, [("よんで", 7)], "text string, from int"), "kana"), "seq") == [(10_000_001,)]
     assert get(look.texts_with_pos(keys(spark, [("は", "prt"), ("ご", "prt")], "text string, pos string"), "kana"), "text") == [("は",)]
-    assert get(look.kana_forms(keys(spark, [7], "seq int")), "of", "text") == [(7, "よむ"), (7, "よんで")]
+    assert get(look.kana_forms(keys(spark, [7], "seq int")), "of", "text") == [(7, "よみ"), (7, "よむ"), (7, "よんで")]
     assert get(look.texts_by_regex("^に.*ん$"), "text") == [("にっぽん",), ("にほん",)]
     assert get(look.kanji_words_containing(keys(spark, ["語"], "char string")), "text") == [("日本語",), ("語",)]
     assert get(look.parents(keys(spark, [(10_000_001, "読んで")], "seq int, text string"), "kanji"), "conj_id") == [(1,)]
-    assert get(look.derived_seqs(keys(spark, [7], "seq int")), "seq") == [(10_000_001,)]
+    assert get(look.derived_seqs(keys(spark, [7], "seq int")), "seq") == [(10_000_001,), (10_000_002,)]
     assert (1,) in get(look.underived(), "seq") and (10_000_001,) not in get(look.underived(), "seq")
     assert get(look.sense_glosses(seqs), "seq", "glosses") == [(1, "the world; society"), (2, "Japan")]
     assert get(look.first_glosses(keys(spark, [12], "seq int"), "ctr"), "glosses") == [("counter for long things",)]
@@ -100,3 +101,21 @@ def test_tokens(spark, features):
     assert set(got) == {1, 2, 4}
     lines = {r.id: r.romaji for r in segment.romanized(out, "id").collect()}
     assert lines[1] == "Hello sekai! " and lines[2] == "watashi ha nihongo wo yonde"
+
+
+def test_suffixes_and_counters(spark, lexicon, features):
+    suffixes = compounds.suffix_forms(lexicon, [("tai", 20), ("teiru", 21)])
+    texts = spark.createDataFrame([(1, "日本語を読みたい"), (2, "本を読んでいる"), (3, "三本"), (4, "8本")], "id int, text string")
+    out = segment.tokens(texts, features, suffixes=suffixes)
+    got = {}
+    for r in out.orderBy("id", "run_no", "token_no").collect():
+        got.setdefault(r.id, []).append((r.token, r.kana))
+    assert got[1][-1] == ("読みたい", "よみたい") and got[2][-1] == ("読んでいる", "よんでいる")
+    assert got[3] == [("三本", "さんぽん")] and got[4] == [("8本", "はっぽん")]
+
+
+def test_counting():
+    assert [counting.counted(n, "ほん") for n in (1, 2, 3, 6, 10, 100)] == ["いっぽん", "にほん", "さんぽん", "ろっぽん", "じゅっぽん", "ひゃっぽん"]
+    assert counting.counted(8, "かい") == "はっかい" and counting.counted(1, "ページ", foreign=True) == "いちページ"
+    assert [counting.ordinal(n) for n in (1, 2, 3, 11, 112, 23)] == ["1st", "2nd", "3rd", "11th", "112th", "23rd"]
+    assert [counting.last_digit(n) for n in (7, 10, 500, 20_000, 10**8)] == [7, 10, 100, 10_000, None]
