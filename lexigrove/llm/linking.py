@@ -81,10 +81,11 @@ def _overlap_batches(batches, numerator: int, denominator: int):
 
 def verified(pairs: DataFrame, sets_of, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) of which the sets have a Jaccard similarity of
-    numerator / denominator or more, exactly.  ``sets_of(ids)`` gives (id, items)."""
+    numerator / denominator or more, exactly.  ``sets_of(ids)`` gives (id, items),
+    of other ids too if that is cheaper; it is read twice."""
     pairs = materialise(pairs.select("a", "b"), "pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = materialise(sets_of(ids), "sets")
+    sets = sets_of(ids)
     return (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("_left")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("items").alias("_right")), "b")

@@ -254,7 +254,7 @@ def similar_sets(
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(id_filter(ids, "id"))
         sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted, size), "id long, items array<long>")
-        return sets.join(ids, "id", "left_semi")
+        return materialise(sets.join(ids, "id", "left_semi"), "sets")
 
     found = connected_components(links(adaptive, _stars(percent), _pairs_between(percent), sets_of, percent, 100))
     labelled = classes.select("d1", "d2", "class_id", "members").join(

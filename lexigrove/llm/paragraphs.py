@@ -32,6 +32,8 @@ PERCENT = 80
 #: Bits of the filters on paragraph hashes (8 MB).
 NODE_BITS = 26
 GROUP_BYTES = 2 << 20
+#: Hashes that are made at once.
+MATRIX = 1 << 16
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -132,18 +134,34 @@ def _band_batches(batches):
     from .kernels import mix, shingle_hashes
 
     numbers = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _PRIME)
-    factor, shift = numbers[::2] | np.uint64(1), numbers[1::2]
+    factor, shift = (numbers[::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (numbers[1::2] >> np.uint64(32)).astype(np.uint32)
 
     def bands(shingles: list, starts: list, stops: list, nodes: list):
-        flat = np.append(np.concatenate(shingles), np.uint64(0))
-        edges = np.stack((np.concatenate(starts), np.concatenate(stops)), 1).reshape(-1)
+        flat = (np.concatenate(shingles) >> np.uint64(32)).astype(np.uint32)
         node, first = np.unique(np.concatenate(nodes), return_index=True)
-        edges = edges.reshape(-1, 2)[first].reshape(-1)
+        start, stop = np.concatenate(starts)[first], np.concatenate(stops)[first]
+        order = np.argsort(stop - start, kind="stable")  # lines of about one length make a matrix
+        least = np.empty((BANDS * ROWS, len(node)), np.uint32)
+        lo = 0
+        while lo < len(order):
+            width = int(stop[order[lo]] - start[order[lo]])
+            hi = lo + int(np.searchsorted((stop - start)[order[lo:]], width + max(4, width // 8), side="right"))
+            hi = min(hi, lo + max(1, MATRIX // (width + max(4, width // 8))))
+            own = order[lo:hi]
+            size = stop[own] - start[own]
+            rows = np.minimum(np.arange(int(size.max()))[:, None], size - 1)
+            matrix = flat[start[own] + rows]
+            hashed = np.empty_like(matrix)
+            for k in range(BANDS * ROWS):
+                np.multiply(matrix, factor[k], out=hashed)
+                hashed += shift[k]
+                least[k, own] = hashed.min(axis=0)
+            lo = hi
         for b in range(BANDS):
             with np.errstate(over="ignore"):
                 token = np.full(len(node), b, np.uint64)
                 for k in range(b * ROWS, (b + 1) * ROWS):
-                    token = mix(token * _PRIME + np.minimum.reduceat(flat * factor[k] + shift[k] >> np.uint64(16), edges)[::2])
+                    token = mix(token * _PRIME + least[k])
             yield pa.RecordBatch.from_pydict({"token": token.view(np.int64), "id": node.view(np.int64)})
 
     shingles, starts, stops, nodes, held = [], [], [], [], 0
@@ -219,17 +237,16 @@ def _pairs_between(postings: DataFrame) -> DataFrame:
 
 def similar_lines(rows: DataFrame) -> DataFrame:
     """(node, component) of lines that are similar to another, unequal line."""
-    bands = rows.mapInArrow(_band_batches, "token long, id long")
+    bands = materialise(rows.mapInArrow(_band_batches, "token long, id long"), "bands")
     several = bands.groupBy("token").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low <> _high")
     postings = bands.join(several.select("token"), "token").distinct()
     postings = materialise(postings.select("token", "id", F.lit(0).alias("weight")), "paragraph-bands")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = _node_filter(ids, "id")
-        sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted), "id long, items array<long>")
-        return sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items"))
-
-    return connected_components(links(postings, _stars, _pairs_between, sets_of, PERCENT, 100))
+    ids = postings.select("id").distinct()
+    wanted = _node_filter(ids, "id")
+    sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted), "id long, items array<long>")
+    sets = materialise(sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items")), "paragraph-sets")
+    return connected_components(links(postings, _stars, _pairs_between, lambda _: sets, PERCENT, 100))
 
 
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
