@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from . import tables as t
 
@@ -253,6 +253,25 @@ def readings(romaji: str) -> tuple[str, str] | None:
     return shortest, f"^{patterns[0]}$" if len(patterns) == 1 else f"^({'|'.join(patterns)})$"
 
 
+def spellings(romaji: str) -> list[str]:
+    """All kana of a romaji word, those of optional long vowels too; the shortest first."""
+    found = readings(romaji)
+    if not found:
+        return []
+    out: set[str] = set()
+    for pattern in found[1].strip("^$").strip("()").split("|"):
+        options = [""]
+        for piece in re.findall("う\\?|.", pattern):
+            options = [o + x for o in options for x in (("", "う") if piece == "う?" else (piece,))]
+        out.update(options)
+    return sorted(out, key=lambda k: (len(k), k))
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def romaji_spellings(romaji: pd.Series) -> pd.Series:
+    return romaji.map(lambda r: None if r is None else spellings(r))
+
+
 @F.pandas_udf(StructType([StructField("canonical", StringType()), StructField("pattern", StringType())]))
 def romaji_kana(romaji: pd.Series) -> pd.DataFrame:
     found = [None if r is None else readings(r) for r in romaji]
