@@ -26,12 +26,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, order_id, text_of
+from .common import id_of, order_id, small_batches, text_of
 
 #: Characters that are encoded in one call of the library.
 CALL_CHARS = 1 << 18
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -131,6 +131,20 @@ def load(rank_file: str, pattern: str) -> ByteBPE:
     return ByteBPE(rank_file, pattern)
 
 
+def _forgetting(make):
+    """Workers live on: what a task has remembered goes when it ends."""
+
+    @functools.wraps(make)
+    def batches(source, rank_file: str, pattern: str, *rest):
+        try:
+            yield from make(source, rank_file, pattern, *rest)
+        finally:
+            load(rank_file, pattern).known.clear()
+
+    return batches
+
+
+@_forgetting
 def _encode_batches(batches, rank_file: str, pattern: str, want_offsets: bool):
     import pyarrow as pa
 
@@ -172,12 +186,14 @@ def encode(
     Null or empty text has no tokens; a null id stays null; repeated rows each
     give a row; other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     schema = "_id long, ids array<int>, decoded binary" + ", starts array<int>, ends array<int>" * offsets
     out = rows.mapInArrow(lambda batches: _encode_batches(batches, rank_file, pattern, offsets), schema)
     return out.select(id_of(out["_id"]).alias(id_col), *[c for c in out.columns if c != "_id"])
 
 
+@_forgetting
 def _token_batches(batches, rank_file: str, pattern: str):
     import pyarrow as pa
 
@@ -198,6 +214,7 @@ def _token_batches(batches, rank_file: str, pattern: str):
 
 def tokens(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, ids, and whether decoding the ids gave the text back."""
+    small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     out = rows.mapInArrow(lambda batches: _token_batches(batches, rank_file, pattern), "_id long, ids array<int>, round_trip boolean")
     return out.select(id_of(out["_id"]).alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
@@ -224,6 +241,7 @@ def _digest_batches(batches, rank_file: str, pattern: str):
 def digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode() with its arrays reduced to counts and digests where they are made,
     so that ids and bytes need not go back to the JVM."""
+    small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     out = rows.mapInArrow(
         lambda batches: _digest_batches(batches, rank_file, pattern),

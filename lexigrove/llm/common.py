@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -51,6 +52,23 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound what a worker holds of its input: session settings for Arrow batches, lowered
+    where they are above BATCH_ROWS and BATCH_BYTES."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        name = f"spark.sql.execution.arrow.{key}"
+        try:
+            held = int(re.sub("[^0-9-]", "", spark.conf.get(name)))
+        except Exception:  # a version without this setting
+            continue
+        if held <= 0 or held > most:
+            spark.conf.set(name, str(most))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver see: spark.checkpoint.dir.
 

@@ -32,7 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, id_of, materialise, order_id, text_of
+from .common import fold, id_of, materialise, order_id, small_batches, text_of
 
 #: Bytes of text in a group of documents, and documents at most.
 GROUP_BYTES = 4 << 20
@@ -232,21 +232,23 @@ def _count_part(table, hot: np.ndarray, hot_counts: np.ndarray, parts: int):
     runs = np.concatenate([b[1] for _, b in blobs])
     context = np.concatenate([_from_six(b[2]) for _, b in blobs])
     doc = np.concatenate([b[3] for _, b in blobs])
-    times = np.concatenate([b[4] for _, b in blobs]).astype(np.int64)
-    owner = np.repeat(np.arange(len(blobs)), [len(b[3]) for _, b in blobs])
+    times = np.concatenate([b[4] for _, b in blobs])
+    owner = np.repeat(np.arange(len(blobs), dtype=np.int32), [len(b[3]) for _, b in blobs])
     del blobs
     taught = (doc & _TRAIN) > 0
-    doc = (doc & ~_TRAIN).astype(np.int64)
+    doc = (doc & ~_TRAIN).astype(np.int32)
     # Counts of words and bigrams in training documents.
     vocabulary, inverse = np.unique(names, return_inverse=True)
-    word = np.repeat(inverse, runs)
+    word = np.repeat(inverse.astype(np.int32), runs)
     counted = times * taught
     of_word = np.bincount(word, counted, len(vocabulary)).astype(np.int64)
     at = np.minimum(np.searchsorted(hot, vocabulary), len(hot) - 1)
     is_hot = hot[at] == vocabulary
     of_word[is_hot] = hot_counts[at[is_hot]]
     _, first, bigram = np.unique(mix(vocabulary[word] ^ mix(context)), return_index=True, return_inverse=True)
+    bigram = bigram.astype(np.int32)
     of_bigram = np.bincount(bigram, counted, len(first)).astype(np.int64)
+    del counted
     cold = ~is_hot
     stats = [int((of_word[cold] > 0).sum()), int((of_word[cold] == 1).sum()), *[int((of_bigram == r).sum()) for r in range(1, DISCOUNTED + 2)]]
     rows = [*forwarded, ("stats", 0, 0, _pack(np.array(stats, np.int64)))]
@@ -257,7 +259,9 @@ def _count_part(table, hot: np.ndarray, hot_counts: np.ndarray, parts: int):
         log_c = np.where(known, np.log10(np.maximum(c, 1)), 0.0)
         log_r = np.where(r > DISCOUNTED, np.log10(np.maximum(r, 1) - 0.5), np.log10(np.maximum(r, 1)))
     lm = np.where(seen, log_r, log_c) - np.where(vocabulary[word] == END, 0.0, log_c)
-    slot, place = np.unique((owner << 16) | doc, return_inverse=True)
+    del log_c, log_r
+    slot, place = np.unique((owner.astype(np.int64) << 16) | doc, return_inverse=True)
+    place = place.astype(np.int32)
     total = lambda x: np.bincount(place, x, len(slot))
     sums = [total(times * np.log10(c + 0.1)), total(times * lm)]
     numbers = [total(times * known), total(times * (~seen & known)), total(times * ~known)]
@@ -388,6 +392,7 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text")
     nothing to learn from all words are unknown.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(order_id(id_col).alias("_id"), F.coalesce(train, F.lit(False)).alias("_train"), text_of(text_col).alias("_text"))
     conf_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     counted = materialise(

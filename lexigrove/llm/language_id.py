@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, id_of, order_id, text_of
+from .common import fold, id_of, order_id, small_batches, text_of
 
 #: Labelled texts of each language that the model is fitted on, and their most frequent words.
 PER_LANGUAGE = 3000
@@ -231,6 +231,7 @@ def train(
     texts of each language, chosen by a hash of the id, and their ``words`` most
     frequent words.
     """
+    small_batches(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:

@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, materialise, order_id, text_of
+from .common import id_of, materialise, order_id, small_batches, text_of
 from .linking import connected_components, id_filter, links, may_hold
 
 #: Buckets of the counts that order shingles; a fixed 16 MB.
@@ -223,6 +223,7 @@ def similar_sets(
     * other columns are ignored.
     """
     spark = df.sparkSession
+    small_batches(spark)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     counts = spark.sparkContext.broadcast(shingle_counts(rows, size))
     prefixed = materialise(

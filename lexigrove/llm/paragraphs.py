@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, materialise, order_id, text_of
+from .common import id_of, materialise, order_id, small_batches, text_of
 from .linking import connected_components, links
 
 MIN_WORDS = 20
@@ -252,6 +252,7 @@ def similar_lines(rows: DataFrame) -> DataFrame:
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per paragraph in a cluster: _id, start, stop (words), cluster,
     keep_id, keep_start (the occurrence that stays), removed."""
+    small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     units = rows.mapInArrow(_unit_batches, "node long, id long, start int, stop int")
     repeated = materialise(
