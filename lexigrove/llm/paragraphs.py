@@ -18,7 +18,7 @@ occurrence, by id and position, stays; the others are removed.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import id_of, materialise, order_id, small_batches, text_of
@@ -229,10 +229,33 @@ def _stars(postings: DataFrame) -> DataFrame:
     return postings.select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b")).distinct()
 
 
-def _pairs_between(postings: DataFrame) -> DataFrame:
-    x = postings.select("token", F.col("id").alias("a"), F.col("component").alias("_x"))
-    y = postings.select("token", F.col("id").alias("b"), F.col("component").alias("_y"))
-    return x.join(y, "token").where("_x < _y").select("a", "b").distinct()
+def _pairs_between(sets: DataFrame):
+    """Candidate pairs of different components, of lines that collide with a line of another one.
+
+    Two sets of similarity PERCENT share one of their rarest shingles: of n, the first
+    n - need + 1 in a common order, where need is what the pair must share.  So variants
+    of one line that all differ by too much meet nowhere, however many they are.
+    """
+
+    def pairs(postings: DataFrame) -> DataFrame:
+        ids = postings.select("id", "component").distinct()
+        items = sets.join(ids, "id").select("id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+        often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "item"))
+        first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+        rare = items.join(often, "item").withColumn("rank", rank).where((F.col("rank") <= first) & (F.col("often") > 1))
+        x = rare.select("item", *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "rank")])
+        y = rare.select("item", *[F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "rank")])
+        need = F.ceil((F.col("x_n") + F.col("y_n")) * PERCENT / (100 + PERCENT))
+        close = (
+            (F.col("x_component") < F.col("y_component"))
+            & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT)
+            & (F.col("x_rank") <= F.col("x_n") - need + 1)
+            & (F.col("y_rank") <= F.col("y_n") - need + 1)
+        )
+        return x.join(y, "item").where(close).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+    return pairs
 
 
 def similar_lines(rows: DataFrame) -> DataFrame:
@@ -246,7 +269,7 @@ def similar_lines(rows: DataFrame) -> DataFrame:
     wanted = _node_filter(ids, "id")
     sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted), "id long, items array<long>")
     sets = materialise(sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items")), "paragraph-sets")
-    return connected_components(links(postings, _stars, _pairs_between, lambda _: sets, PERCENT, 100))
+    return connected_components(links(postings, _stars, _pairs_between(sets), lambda _: sets, PERCENT, 100))
 
 
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
