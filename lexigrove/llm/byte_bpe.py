@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_of, order_id, small_batches, text_of
+from .kernels import tidy
 
 #: Characters that are encoded in one call of the library.
-CALL_CHARS = 1 << 18
+CALL_CHARS = 1 << 15
 #: Pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
 
@@ -166,7 +167,7 @@ def _encode_batches(batches, rank_file: str, pattern: str, want_offsets: bool):
             yield pa.RecordBatch.from_pydict(columns)
 
 
-def _runs(texts: list[str], chars: int = 2 << 20) -> Iterator[slice]:
+def _runs(texts: list[str], chars: int = 1 << 19) -> Iterator[slice]:
     start, total = 0, 0
     for i, text in enumerate(texts):
         total += len(text)
@@ -193,6 +194,7 @@ def encode(
     return out.select(id_of(out["_id"]).alias(id_col), *[c for c in out.columns if c != "_id"])
 
 
+@tidy
 @_forgetting
 def _token_batches(batches, rank_file: str, pattern: str):
     import pyarrow as pa
@@ -220,6 +222,7 @@ def tokens(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id",
     return out.select(id_of(out["_id"]).alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
 
 
+@tidy
 def _digest_batches(batches, rank_file: str, pattern: str):
     import pyarrow as pa
 

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, id_of, materialise, order_id, small_batches, text_of
+from .kernels import release, tidy
 
 #: Bytes of text in a group of documents, and documents at most.
 GROUP_BYTES = 4 << 20
@@ -101,6 +102,7 @@ def _groups(batches) -> Iterator[tuple[list, list[bool], list[np.ndarray]]]:
         yield ids, train, words
 
 
+@tidy
 def _frequent_batches(batches, share: float):
     """Words with at least ``share`` of a group's training tokens; token counts."""
     import pyarrow as pa
@@ -118,6 +120,7 @@ def _frequent_batches(batches, share: float):
     yield pa.RecordBatch.from_pydict({"word": pa.array([None, None], pa.int64()), "n": pa.array([total, -docs], pa.int64())})
 
 
+@tidy
 def _count_batches(batches, hot: np.ndarray):
     import pyarrow as pa
 
@@ -130,6 +133,7 @@ def _count_batches(batches, hot: np.ndarray):
     yield pa.RecordBatch.from_pydict({"at": pa.array(np.arange(len(hot))), "n": pa.array(total)})
 
 
+@tidy
 def _send_batches(batches, hot: np.ndarray, parts: int):
     """Rows (part, group, kind, data): each group's bigrams by the part of the word."""
     import pyarrow as pa
@@ -225,6 +229,7 @@ def _count_part(table, hot: np.ndarray, hot_counts: np.ndarray, parts: int):
             forwarded.append(("docs", 0, group, data))
         else:
             blobs.append((group, _unpack(data)))
+    release()
     if not blobs:
         return _out(forwarded)
     groups = [g for g, _ in blobs]

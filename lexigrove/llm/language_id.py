@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, id_of, order_id, small_batches, text_of
+from .kernels import tidy
 
 #: Labelled texts of each language that the model is fitted on, and their most frequent words.
 PER_LANGUAGE = 3000
@@ -203,6 +204,7 @@ class Scorer:
         return [None if r is None else r[1] @ self.logs[r[0]] for r in rows]
 
 
+@tidy
 def _count_batches(batches):
     import pyarrow as pa
 
@@ -258,6 +260,7 @@ def train(
     return languages, np.array([np.log(sizes[k] / total) for k in languages]), table
 
 
+@tidy
 def _predict_batches(batches, model, vocabulary: str):
     import pyarrow as pa
 
@@ -301,6 +304,7 @@ def predict(df: DataFrame, model, vocabulary: str, id_col: str = "doc_id", text_
     )
 
 
+@tidy
 def _keep_batches(batches, model, vocabulary: str, text_at: int, least: float):
     import pyarrow as pa
 

@@ -8,7 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, written
+from .kernels import tidy
 
 #: Bits of the filter that spares most texts a second look; a fuller filter only lets more through.
 FILTER_BITS = 1 << 23
@@ -19,6 +20,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Alternating large and small stars.  Each round is written to the shared folder.
     """
+    begun = written()
     edges = edges.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).where("lo <> hi").distinct()
     edges = materialise(edges, "edges")
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(20,0)"))).first())
@@ -39,9 +41,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if after == before:
             break
         before = after
-    return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
+        discard(begun, edges)
+    labels = edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(
         edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct()
     )
+    labels = materialise(labels, "components")
+    discard(begun, labels)
+    return labels
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
@@ -63,6 +69,7 @@ def may_hold(bits: np.ndarray, value: int) -> bool:
     return bool(int(bits[at >> 6]) >> (at & 63) & 1)
 
 
+@tidy
 def _overlap_batches(batches, numerator: int, denominator: int):
     import pyarrow as pa
 

@@ -20,7 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_of, materialise, order_id, small_batches, text_of
+from .common import discard, id_of, materialise, order_id, small_batches, text_of, written
+from .kernels import tidy
 from .linking import connected_components, id_filter, links, may_hold
 
 #: Buckets of the counts that order shingles; a fixed 16 MB.
@@ -42,20 +43,26 @@ def _sets(batches, size: int):
             yield batch, i, shingle_set(word_hashes(data), size)
 
 
+@tidy
 def _sketch_batches(batches, size: int):
     """Counts of shingles by hash bucket of a whole partition, in packed slices."""
     import pyarrow as pa
 
     counts = np.zeros(1 << SKETCH_BITS, np.int32)
     held, waiting = 0, []
+
+    def add(parts: list) -> None:
+        bucket, times = np.unique(np.concatenate(parts).astype(np.int32), return_counts=True)
+        counts[bucket] += times.astype(np.int32)
+
     for _, _, found in _sets(batches, size):
         waiting.append(found >> np.uint64(64 - SKETCH_BITS))
         held += len(found)
-        if held > 1 << 21:
-            counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+        if held > 1 << 20:
+            add(waiting)
             held, waiting = 0, []
     if waiting:
-        counts += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.int32)
+        add(waiting)
     if counts.any():
         parts = counts.reshape(-1, SLICE)
         yield pa.RecordBatch.from_pydict(
@@ -66,6 +73,7 @@ def _sketch_batches(batches, size: int):
         )
 
 
+@tidy
 def _add_batches(batches):
     import pyarrow as pa
 
@@ -96,6 +104,7 @@ def shingle_counts(rows: DataFrame, size: int) -> np.ndarray:
     return counts.reshape(-1)
 
 
+@tidy
 def _prefix_batches(batches, counts, size: int, percent: int):
     import hashlib
 
@@ -132,6 +141,7 @@ def _prefix_batches(batches, counts, size: int, percent: int):
         yield flush(last)
 
 
+@tidy
 def _set_batches(batches, wanted, size: int):
     import pyarrow as pa
 
@@ -245,6 +255,7 @@ def similar_sets(
         ),
         "classes",
     )
+    begun = written()
     postings = classes.select(F.col("class_id").alias("id"), "size", "weight", F.posexplode("prefix").alias("pos", "token"))
     listed = postings.groupBy("token").agg(F.count(F.lit(1)).alias("listed")).where("listed > 1")
     shared = materialise(postings.join(listed, "token"), "shared-postings")
@@ -258,6 +269,7 @@ def similar_sets(
         return materialise(sets.join(ids, "id", "left_semi"), "sets")
 
     found = connected_components(links(adaptive, _stars(percent), _pairs_between(percent), sets_of, percent, 100))
+    discard(begun, found)
     labelled = classes.select("d1", "d2", "class_id", "members").join(
         found.select(F.col("node").alias("class_id"), "component"), "class_id", "left"
     )
