@@ -18,10 +18,11 @@ occurrence, by id and position, stays; the others are removed.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_of, materialise, order_id, small_batches, text_of
+from .common import discard, id_of, materialise, order_id, small_batches, text_of, written
+from .kernels import tidy
 from .linking import connected_components, links
 
 MIN_WORDS = 20
@@ -94,6 +95,7 @@ def _documents(batches):
             yield key, data, word_hashes(data)
 
 
+@tidy
 def _unit_batches(batches, wanted=None):
     """(node, id, start, stop) of all paragraphs, or of those whose node may be wanted."""
     import pyarrow as pa
@@ -127,6 +129,7 @@ def _unit_batches(batches, wanted=None):
         yield flush()
 
 
+@tidy
 def _band_batches(batches):
     """(token, id) for each band of each distinct line of a group of documents."""
     import pyarrow as pa
@@ -182,6 +185,7 @@ def _band_batches(batches):
         yield from bands(shingles, starts, stops, nodes)
 
 
+@tidy
 def _set_batches(batches, wanted):
     """(id, items): shingle sets of the lines whose node may be wanted."""
     import pyarrow as pa
@@ -229,24 +233,48 @@ def _stars(postings: DataFrame) -> DataFrame:
     return postings.select(F.col("id").alias("a"), (-F.col("hub.minus")).alias("b")).distinct()
 
 
-def _pairs_between(postings: DataFrame) -> DataFrame:
-    x = postings.select("token", F.col("id").alias("a"), F.col("component").alias("_x"))
-    y = postings.select("token", F.col("id").alias("b"), F.col("component").alias("_y"))
-    return x.join(y, "token").where("_x < _y").select("a", "b").distinct()
+def _pairs_between(sets: DataFrame):
+    """Candidate pairs of different components, of lines that collide with a line of another one.
+
+    Two sets of similarity PERCENT share one of their rarest shingles: of n, the first
+    n - need + 1 in a common order, where need is what the pair must share.  So variants
+    of one line that all differ by too much meet nowhere, however many they are.
+    """
+
+    def pairs(postings: DataFrame) -> DataFrame:
+        ids = postings.select("id", "component").distinct()
+        items = sets.join(ids, "id").select("id", "component", F.size("items").alias("n"), F.explode("items").alias("item"))
+        often = items.groupBy("item").agg(F.count(F.lit(1)).alias("often"))
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("often", "item"))
+        first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+        rare = items.join(often, "item").withColumn("rank", rank).where((F.col("rank") <= first) & (F.col("often") > 1))
+        x = rare.select("item", *[F.col(c).alias(f"x_{c}") for c in ("id", "component", "n", "rank")])
+        y = rare.select("item", *[F.col(c).alias(f"y_{c}") for c in ("id", "component", "n", "rank")])
+        need = F.ceil((F.col("x_n") + F.col("y_n")) * PERCENT / (100 + PERCENT))
+        close = (
+            (F.col("x_component") < F.col("y_component"))
+            & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * PERCENT)
+            & (F.col("x_rank") <= F.col("x_n") - need + 1)
+            & (F.col("y_rank") <= F.col("y_n") - need + 1)
+        )
+        return x.join(y, "item").where(close).select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct()
+
+    return pairs
 
 
 def similar_lines(rows: DataFrame) -> DataFrame:
     """(node, component) of lines that are similar to another, unequal line."""
     bands = materialise(rows.mapInArrow(_band_batches, "token long, id long"), "bands")
-    several = bands.groupBy("token").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low <> _high")
-    postings = bands.join(several.select("token"), "token").distinct()
-    postings = materialise(postings.select("token", "id", F.lit(0).alias("weight")), "paragraph-bands")
-
+    listed = bands.groupBy("token").agg(F.min("id").alias("_low"), F.max("id").alias("_high"), F.count(F.lit(1)).alias("listed"))
+    postings = bands.join(listed.where("_low <> _high").select("token", "listed"), "token").distinct()
+    # The line that collides most is the hub of all its lists, so each line meets few hubs.
+    postings = postings.withColumn("weight", F.sum("listed").over(Window.partitionBy("id")))
+    postings = materialise(postings.select("token", "id", "weight"), "paragraph-bands")
     ids = postings.select("id").distinct()
     wanted = _node_filter(ids, "id")
     sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted), "id long, items array<long>")
     sets = materialise(sets.join(ids, "id", "left_semi").groupBy("id").agg(F.first("items").alias("items")), "paragraph-sets")
-    return connected_components(links(postings, _stars, _pairs_between, lambda _: sets, PERCENT, 100))
+    return connected_components(links(postings, _stars, _pairs_between(sets), lambda _: sets, PERCENT, 100))
 
 
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,6 +282,7 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     keep_id, keep_start (the occurrence that stays), removed."""
     small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    begun = written()
     units = rows.mapInArrow(_unit_batches, "node long, id long, start int, stop int")
     repeated = materialise(
         units.groupBy("node").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low <> _high").select("node"),
@@ -261,9 +290,11 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     )
     labels = repeated.join(similar_lines(rows), "node", "full").select("node", F.coalesce("component", "node").alias("cluster"))
     labels = materialise(labels, "paragraph-labels")
+    discard(begun, labels)
     wanted = _node_filter(labels, "node")
     members = rows.mapInArrow(lambda batches: _unit_batches(batches, wanted), "node long, id long, start int, stop int")
     members = materialise(members.join(labels, "node").select("cluster", F.col("id").alias("_id"), "start", "stop"), "paragraph-members")
+    discard(begun, members)
     stays = (
         members.groupBy("cluster")
         .agg(F.min(F.struct("_id", "start")).alias("_keep"), F.max("_id").alias("_last"))
@@ -284,6 +315,7 @@ def _merge(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@tidy
 def _report_batches(batches):
     import pyarrow as pa
 
