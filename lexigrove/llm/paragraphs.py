@@ -5,10 +5,12 @@ Paragraphs are of two kinds, both of MIN_WORDS words or more:
 * lines, compared by MinHash: BANDS bands of ROWS hashes of 5-word shingles find
   pairs of similarity 0.8 with a probability of 1 - (1 - 0.8^ROWS)^BANDS = 0.996 and
   pairs of 0.9 nearly surely; colliding lines are verified by exact Jaccard;
-* segments, for passages inside other text: a segment begins where the hash of two
-  words is the smallest within RADIUS words and ends at the first such place
-  MIN_WORDS or more words on, so a passage is cut alike wherever it stands.
-  They have one band, all of the segment, and so find exact repeats.
+* windows of MIN_WORDS words, for passages inside other text.  Anchors are the runs of
+  ANCHOR words whose hash is the smallest of some REACH successive ones, so two
+  texts that share ANCHOR + REACH - 1 = 23 words share an anchor.  Windows begin
+  at the anchors that two documents have and, where the words around an anchor are
+  not the same everywhere, at each word near it: a passage of 23 words or more is
+  covered from its first word to its last.  They find exact repeats.
 
 Equal paragraphs are one node.  Verified links join nodes into components; a
 component that occurs in two documents or more is a cluster.  Its first
@@ -26,7 +28,7 @@ from .kernels import tidy
 from .linking import connected_components, links
 
 MIN_WORDS = 20
-RADIUS = 4
+ANCHOR, REACH = 10, 14
 SHINGLE = 5
 BANDS, ROWS = 14, 5
 PERCENT = 80
@@ -68,22 +70,36 @@ def line_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[:-1][long], edges[1:][long]
 
 
-def segment_bounds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    from .kernels import mix
+def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the anchors, in order, and their hashes."""
+    n = len(words) - ANCHOR + 1
+    if n < REACH:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    start = np.arange(n)
+    value = digests(words, start, start + ANCHOR)
+    least = _slide(value, np.minimum)
+    edge = np.zeros(REACH - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate((edge, least, edge)), np.maximum) == value)
+    return at, value[at]
+
+
+def _slide(x: np.ndarray, of) -> np.ndarray:
+    """Minimum or maximum of each REACH successive values."""
+    width = 1
+    while 2 * width <= REACH:
+        x = of(x[:-width], x[width:])
+        width *= 2
+    rest = REACH - width
+    return of(x[:-rest], x[rest:]) if rest else x
 
-    n = len(words)
-    if n < MIN_WORDS + 1:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    with np.errstate(over="ignore"):
-        pair = mix(words[:-1] * _PRIME + words[1:])
-    padded = np.concatenate((np.zeros(RADIUS, np.uint64), pair, np.zeros(RADIUS, np.uint64)))
-    least = np.ones(len(pair), bool)
-    for k in range(1, RADIUS + 1):
-        least &= (pair < padded[RADIUS - k : RADIUS - k + len(pair)]) & (pair < padded[RADIUS + k : RADIUS + k + len(pair)])
-    cuts = np.flatnonzero(least)
-    ends = np.searchsorted(cuts, cuts + MIN_WORDS)
-    whole = ends < len(cuts)
-    return cuts[whole], cuts[ends[whole]]
+
+def window_starts(n: int, at: np.ndarray, shared: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where windows begin in a text of n words: at shared anchors and, for those that may be
+    the first or last of a passage, wherever the passage may begin or its last window may."""
+    near = at[ends][:, None] + np.arange(1 - REACH, MIN_WORDS)
+    near = near[near <= (at[ends] + ANCHOR + REACH - 1 - MIN_WORDS)[:, None]]
+    start = np.unique(np.concatenate((at[shared], near)))
+    return start[(start >= 0) & (start <= n - MIN_WORDS)]
 
 
 def _documents(batches):
@@ -96,8 +112,39 @@ def _documents(batches):
 
 
 @tidy
-def _unit_batches(batches, wanted=None):
-    """(node, id, start, stop) of all paragraphs, or of those whose node may be wanted."""
+def _anchor_batches(batches):
+    """(node, id, before, after) of all anchors: hashes of the words from the anchor before and to the next one."""
+    import pyarrow as pa
+
+    out, held = [], 0
+
+    def flush():
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["node", "id", "before", "after"])
+
+    for key, _, words in _documents(batches):
+        at, node = anchors(words)
+        if not len(at):
+            continue
+        between, edge = digests(words, at[:-1], at[1:] + ANCHOR), np.zeros(1, np.uint64)
+        out.append((node, np.full(len(at), key, np.int64), np.concatenate((edge, between)), np.concatenate((between, edge))))
+        held += len(at)
+        if held > 50_000:
+            yield flush()
+            held = 0
+    if out:
+        yield flush()
+
+
+def _maybe(wanted, node: np.ndarray) -> np.ndarray:
+    at = (node >> np.uint64(64 - NODE_BITS)).astype(np.int64)
+    return (wanted.value[at >> 6] >> (at & 63)) & 1 > 0
+
+
+@tidy
+def _unit_batches(batches, repeated, varied):
+    """(node, id, start, stop) of all lines and of the windows around repeated anchors."""
     import pyarrow as pa
 
     out, held = [], 0
@@ -110,18 +157,16 @@ def _unit_batches(batches, wanted=None):
         )
 
     for key, data, words in _documents(batches):
-        bounds = [line_bounds(data), segment_bounds(words)]
-        start, stop = (np.concatenate(x) for x in zip(*bounds, strict=True))
-        if not len(start):
-            continue
-        node = digests(words, start, stop)
-        if wanted is not None:
-            at = (node >> np.uint64(64 - NODE_BITS)).astype(np.int64)
-            own = (wanted.value[at >> 6] >> (at & 63)) & 1 > 0
-            node, start, stop = node[own], start[own], stop[own]
-        if len(node):
-            out.append((np.full(len(node), key, np.int64), node, start, stop))
-            held += len(node)
+        start, stop = line_bounds(data)
+        at, node = anchors(words)
+        if len(at):
+            shared, ends = _maybe(repeated, node), _maybe(varied, node)
+            ends[[0, -1]] = True
+            own = window_starts(len(words), at, shared, shared & ends)
+            start, stop = np.concatenate((start, own)), np.concatenate((stop, own + MIN_WORDS))
+        if len(start):
+            out.append((np.full(len(start), key, np.int64), digests(words, start, stop), start, stop))
+            held += len(start)
         if held > 50_000:
             yield flush()
             held = 0
@@ -283,17 +328,20 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     begun = written()
-    units = rows.mapInArrow(_unit_batches, "node long, id long, start int, stop int")
-    repeated = materialise(
-        units.groupBy("node").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low <> _high").select("node"),
-        "repeated-paragraphs",
-    )
+    found = rows.mapInArrow(_anchor_batches, "node long, id long, before long, after long").groupBy("node")
+    found = found.agg(*[f(c).alias(f"{n}_{c}") for c in ("id", "before", "after") for n, f in (("low", F.min), ("high", F.max))])
+    same = (F.col("low_before") == F.col("high_before")) & (F.col("low_after") == F.col("high_after"))
+    found = materialise(found.where("low_id <> high_id").select("node", same.alias("same")), "repeated-anchors")
+    shared, varied = _node_filter(found, "node"), _node_filter(found.where("NOT same"), "node")
+    units = rows.mapInArrow(lambda batches: _unit_batches(batches, shared, varied), "node long, id long, start int, stop int")
+    units = materialise(units, "paragraph-units")
+    discard(begun, units)
+    repeated = units.groupBy("node").agg(F.min("id").alias("_low"), F.max("id").alias("_high")).where("_low <> _high").select("node")
+    repeated = materialise(repeated, "repeated-paragraphs")
     labels = repeated.join(similar_lines(rows), "node", "full").select("node", F.coalesce("component", "node").alias("cluster"))
     labels = materialise(labels, "paragraph-labels")
-    discard(begun, labels)
-    wanted = _node_filter(labels, "node")
-    members = rows.mapInArrow(lambda batches: _unit_batches(batches, wanted), "node long, id long, start int, stop int")
-    members = materialise(members.join(labels, "node").select("cluster", F.col("id").alias("_id"), "start", "stop"), "paragraph-members")
+    discard(begun, units, labels)
+    members = materialise(units.join(labels, "node").select("cluster", F.col("id").alias("_id"), "start", "stop"), "paragraph-members")
     discard(begun, members)
     stays = (
         members.groupBy("cluster")

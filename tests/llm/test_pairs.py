@@ -191,3 +191,20 @@ def test_similar_lines(spark):
     df = spark.createDataFrame([(1, " ".join(line)), (2, "start\n" + " ".join(near)), (3, " ".join(line[::-1]))], "doc_id long, text string")
     got = {r.doc_id: r for r in paragraphs.repeats(df).collect()}
     assert set(got) == {1, 2} and got[2].n_removed == 60 and got[1].n_removed == 0
+
+
+def test_passages_inside_text(spark):
+    """Every passage of 51 words or more is found, from its first word to its last."""
+    rng = random.Random(11)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for k in range(400):
+        passage, long = fresh(n := 51 + k % 10), k % 3 != 2
+        for i in (2 * k, 2 * k + 1):
+            before = rng.choice([0, rng.randrange(30, 90)])  # too much for similar lines
+            text = fresh(before) + passage + fresh(rng.choice([0, rng.randrange(30, 90)]))
+            rows.append((i, " ".join(text) if long else "\n".join(" ".join(text[j : j + 7]) for j in range(0, len(text), 7))))
+            want[i] = [f"{before}:{before + n}"]
+    got = {r.doc_id: r for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.spans for i, r in got.items()} == want
+    assert all(r.removed_spans == (want[i] if i % 2 else []) and r.kept_in == [i - i % 2] for i, r in got.items())
