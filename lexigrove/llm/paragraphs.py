@@ -10,7 +10,10 @@ Paragraphs are of two kinds, both of MIN_WORDS words or more:
   texts that share ANCHOR + REACH - 1 = 23 words share an anchor.  Windows begin
   at the anchors that two documents have and, where the words around an anchor are
   not the same everywhere, at each word near it: a passage of 23 words or more is
-  covered from its first word to its last.  They find exact repeats.
+  covered from its first word to its last.  They find exact repeats;
+* bridges, for passages inside other text that were edited: stretches of two texts
+  from one exact repeat of MIN_WORDS words or more to another, of which the Jaccard
+  similarity of 5-word shingles is 0.8 or more by the repeats alone.
 
 Equal paragraphs are one node.  Verified links join nodes into components; a
 component that occurs in two documents or more is a cluster.  Its first
@@ -323,8 +326,8 @@ def similar_lines(rows: DataFrame) -> DataFrame:
 
 
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph in a cluster: _id, start, stop (words), cluster,
-    keep_id, keep_start (the occurrence that stays), removed."""
+    """One row per paragraph in a cluster or end of a bridge: _id, start, stop (words),
+    removed, keep_id (where the occurrence is that stays)."""
     small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     begun = written()
@@ -341,16 +344,83 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     labels = repeated.join(similar_lines(rows), "node", "full").select("node", F.coalesce("component", "node").alias("cluster"))
     labels = materialise(labels, "paragraph-labels")
     discard(begun, units, labels)
-    members = materialise(units.join(labels, "node").select("cluster", F.col("id").alias("_id"), "start", "stop"), "paragraph-members")
+    members = materialise(units.join(labels, "node").select("cluster", "node", F.col("id").alias("_id"), "start", "stop"), "paragraph-members")
     discard(begun, members)
     stays = (
         members.groupBy("cluster")
-        .agg(F.min(F.struct("_id", "start")).alias("_keep"), F.max("_id").alias("_last"))
+        .agg(F.min(F.struct("_id", "start", "node")).alias("_keep"), F.max("_id").alias("_last"))
         .where("_keep._id <> _last")
-        .select("cluster", F.col("_keep._id").alias("keep_id"), F.col("_keep.start").alias("keep_start"))
+        .select("cluster", F.col("_keep._id").alias("keep_id"), F.col("_keep.start").alias("keep_start"), F.col("_keep.node").alias("keep_node"))
     )
     removed = (F.col("_id") != F.col("keep_id")) | (F.col("start") != F.col("keep_start"))
-    return members.join(stays, "cluster").withColumn("removed", removed)
+    found = materialise(members.join(stays, "cluster").withColumn("removed", removed), "paragraph-units-kept")
+    discard(begun, found)
+    columns = ["_id", "start", "stop", "removed", "keep_id"]
+    bridges = bridged(found)
+    here = bridges.select("_id", "start", "stop", F.lit(True).alias("removed"), "keep_id")
+    there = bridges.select(F.col("keep_id").alias("_id"), F.col("keep_start").alias("start"), F.col("keep_stop").alias("stop"), F.lit(False).alias("removed"), "keep_id")
+    return found.select(*columns).union(here).union(there)
+
+
+def bridged(found: DataFrame) -> DataFrame:
+    """_id, start, stop, keep_id, keep_start, keep_stop of the bridges."""
+    exact = found.where((F.col("node") == F.col("keep_node")) & (F.col("_id") != F.col("keep_id")))
+    exact = exact.groupBy("_id", "keep_id").agg(F.collect_set(F.struct("start", "stop", "keep_start")).alias("repeats"))
+    return exact.mapInArrow(_bridge_batches, "_id long, keep_id long, start int, stop int, keep_start int, keep_stop int")
+
+
+def exact_runs(start: np.ndarray, stop: np.ndarray, keep_start: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, stop, keep_start) of repeats; those that meet at one offset are joined."""
+    offset = start - keep_start
+    order = np.lexsort((start, offset))
+    out: list[list[int]] = []
+    last = None
+    for k in order.tolist():
+        if out and last == offset[k] and start[k] <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], int(stop[k]))
+        else:
+            out.append([int(start[k]), int(stop[k]), int(keep_start[k])])
+        last = offset[k]
+    return sorted((a, b, c) for a, b, c in out)
+
+
+def bridges(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start, stop, keep_start, keep_stop): from each run as far as the similarity holds."""
+    out = []
+    for i, (start, stop, keep_start) in enumerate(runs):
+        keep_stop = keep_start + stop - start
+        shared, best = stop - start - SHINGLE + 1, None
+        for begin, end, other in runs[i + 1 :]:
+            over = max(0, stop - begin, keep_stop - other)
+            if end - begin - over < SHINGLE:  # another order, or nothing new
+                continue
+            shared += end - begin - over - SHINGLE + 1
+            stop, keep_stop = end, other + end - begin
+            every = (stop - start) + (keep_stop - keep_start) - 2 * (SHINGLE - 1) - shared
+            if shared * 100 >= every * PERCENT:
+                best = (start, stop, keep_start, keep_stop)
+        if best:
+            out.append(best)
+    return out
+
+
+@tidy
+def _bridge_batches(batches):
+    import pyarrow as pa
+
+    names = ("_id", "keep_id", "start", "stop", "keep_start", "keep_stop")
+    for batch in batches:
+        lists = batch.column("repeats")
+        edges, flat = lists.offsets.to_numpy(), lists.values
+        start, stop, keep_start = (flat.field(k).to_numpy() for k in range(3))
+        rows = []
+        for row, (key, keep) in enumerate(zip(batch.column("_id").to_pylist(), batch.column("keep_id").to_pylist(), strict=True)):
+            own = slice(edges[row], edges[row + 1])
+            runs = exact_runs(start[own], stop[own], keep_start[own])
+            rows += [(key, keep, *x) for x in bridges(runs)] if len(runs) > 1 else []
+        if rows:
+            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names=names)
 
 
 def _merge(spans: list) -> list[tuple[int, int]]:

@@ -208,3 +208,28 @@ def test_passages_inside_text(spark):
     got = {r.doc_id: r for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r.spans for i, r in got.items()} == want
     assert all(r.removed_spans == (want[i] if i % 2 else []) and r.kept_in == [i - i % 2] for i, r in got.items())
+
+
+def test_edited_passages_inside_text(spark):
+    """A passage of 60 words with one edit in its middle, in a long line or in short ones, is one repeat."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want, gone = [], {}, {}
+    for k in range(200):
+        passage = fresh(60)
+        edit = {0: ["edit"], 1: [], 2: ["edit", passage[30]]}[k % 3]
+        for i, text in ((2 * k, passage), (2 * k + 1, passage[:30] + edit + passage[31:])):
+            before, n = rng.randrange(30, 90), len(text)
+            text = fresh(before) + text + fresh(rng.randrange(30, 90))
+            rows.append((i, " ".join(text) if k % 2 else "\n".join(" ".join(text[j : j + 9]) for j in range(0, len(text), 9))))
+            want[i], gone[i] = [f"{before}:{before + n}"], n if i % 2 else 0
+    got = {r.doc_id: r for r in paragraphs.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.spans for i, r in got.items()} == want
+    assert {i: r.n_removed for i, r in got.items()} == gone
+
+
+def test_bridges():
+    assert paragraphs.bridges([(0, 30, 100), (31, 60, 131)]) == [(0, 60, 100, 160)]
+    assert paragraphs.bridges([(0, 20, 100), (21, 41, 121)]) == []  # 32 of 42 shingles
+    assert paragraphs.bridges([(0, 20, 100), (21, 41, 121), (42, 142, 142)]) == [(0, 142, 100, 242), (21, 142, 121, 242)]
+    assert paragraphs.bridges([(0, 30, 100), (31, 60, 50)]) == []
