@@ -25,13 +25,11 @@ from .common import order_id
 #: Slots of a frame, at least 16 for each source.
 FRAME = 1 << 14
 BLOCK_ROWS = 16
-#: No source gets more than this share of the mix.
-LARGEST_SHARE = 0.25
 #: Parts of a source in which its rows are numbered.
 PARTS = 4096
 
 
-def capped_shares(counts: dict[str, int], largest: float = LARGEST_SHARE) -> dict[str, Fraction]:
+def capped_shares(counts: dict[str, int], largest: float) -> dict[str, Fraction]:
     """Natural shares, those above ``largest`` cut to it, the rest in proportion.
 
     ``largest`` is raised to 1 / number of sources where it is below.
@@ -105,15 +103,15 @@ def mix(
     weights: dict[str, float] | None = None,
     block_rows: int = BLOCK_ROWS,
     frame: int = FRAME,
-    largest: float = LARGEST_SHARE,
 ) -> DataFrame:
     """All rows as a struct ``row``, with block, place, slot, release, deadline and in_mix.
 
     Order by (slot, place) is the mix.  Without ``weights``, targets are the
-    natural shares with none above ``largest``; the mix then lasts until every source
-    below it is used up, so only the surplus of larger ones is left out
-    (in_mix false).  With ``weights`` (by source), it ends where a source
-    first runs out; sources without a weight are not in the mix and have no slot.
+    natural shares and every row is in the mix, however large its source and however
+    many sources there are.  Shares are met exactly where all blocks fit in a frame
+    and else rounded to whole slots of a frame.  With ``weights`` (by source), the mix
+    ends where a source first runs out (in_mix false from there); sources without a
+    weight are not in the mix and have no slot.
 
     Rows of a source are taken in the order of a hash of the id.  Null is a source
     of its own, named "" in ``weights`` like the empty name; repeated rows count like others; a null id is ordered
@@ -123,18 +121,16 @@ def mix(
     spark = df.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
     counts = {r["s"]: r["n"] for r in df.groupBy(source.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    targets = {s: w for s, w in weights.items() if s in counts} if weights else capped_shares(counts, largest) if counts else {}
+    count = {s: -(-n // block_rows) for s, n in counts.items()}
+    targets = {s: w for s, w in weights.items() if s in counts} if weights else {s: Fraction(n, sum(count.values())) for s, n in count.items()}
     slots = whole_slots(targets, frame) if targets else {}
     plan = schedule(slots) if slots else []
     length = len(plan)
     at = {(s, k): slot for s, k, slot, _, _ in plan}
-    blocks = {s: -(-counts[s] // block_rows) for s in slots}
+    blocks = {s: count[s] for s in slots}
     slot_of = lambda s, b: b // slots[s] * length + at[s, b % slots[s]]
-    if weights:
-        end = min((slot_of(s, blocks[s]) for s in slots), default=0)
-    else:
-        cut = max(Fraction(str(largest)), Fraction(1, max(1, len(slots))))
-        end = max((slot_of(s, blocks[s] - 1) + 1 for s in slots if targets[s] < cut or len(slots) * cut <= 1), default=0)
+    ends = (slot_of(s, n) for s, n in blocks.items()) if weights else (slot_of(s, n - 1) + 1 for s, n in blocks.items())
+    end = (min if weights else max)(ends, default=0)
 
     by_hash = F.xxhash64(order_id(id_col))
     part = F.pmod(by_hash, F.lit(PARTS))

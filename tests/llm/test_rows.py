@@ -104,6 +104,23 @@ def test_mix(spark, documents, nothing):
     assert collections.Counter(r.row.source for r in mixed) == {"a": 100, "b": 100}
 
 
+@pytest.mark.parametrize("others", [1, 3, 4, 9])
+def test_mix_keeps_a_large_source(spark, others):
+    """One source of 90 %: no row is left out, and each source keeps to its share to within a block."""
+    sizes = {"large": 3600} | {f"s{k}": 400 // others for k in range(others)}
+    names = [s for s, n in sizes.items() for _ in range(n)]
+    rows = spark.createDataFrame(list(enumerate(names)), "doc_id long, source string")
+    assert mixing.mixed(rows).count() == len(names)
+    got = mixing.mix(rows, block_rows=4).collect()
+    assert all(r.in_mix for r in got) and len({r.row.doc_id for r in got}) == len(names)
+    at = sorted({(r.slot, r.row.source) for r in got})
+    assert [t for t, _ in at] == list(range(len(at)))
+    share, had = {s: -(-n // 4) / len(at) for s, n in sizes.items()}, collections.Counter()
+    for t, s in at:
+        had[s] += 1
+        assert all(abs(had[x] - w * (t + 1)) < 1 for x, w in share.items())
+
+
 KIND = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
     "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
