@@ -7,9 +7,9 @@ ids back into bytes with the reversed table, so tokens that hold a part of a
 character only need no care until text is wanted.
 
 The library keys the priority of a merge by the pair, the rank file by the
-token that results.  They could differ only where two overlapping pairs make the
-same token, so an exact check follows: each text's ids are compared with those of
-the rank encoder, and replaced where they differ (none did in the tests).
+token that results, the leftmost first.  They could differ only where two
+overlapping pairs, X Y and Y W, make the same token; then the left pair is listed
+first (split_order()).  The tests compare the ids with those of the rank encoder.
 """
 
 from __future__ import annotations
@@ -47,11 +47,20 @@ def byte_characters() -> list[str]:
     return out
 
 
+def split_order(token: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Where the token can be split into two tokens, in the order of their merges.
+
+    Of tokens X Y W with X + Y = Y + W = token the left two merge first.  That is so for
+    a split at len(X) where the token has the period len(X).
+    """
+    splits = [k for k in range(1, len(token)) if token[:k] in ranks and token[k:] in ranks]
+    return sorted(splits, key=lambda k: (not token.startswith(token[k:]), k))
+
+
 class ByteBPE:
     """One vocabulary.  Use load(), which keeps it for each worker process."""
 
     def __init__(self, rank_file: str, pattern: str) -> None:
-        import tiktoken
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         with open(rank_file, "rb") as lines:
@@ -60,9 +69,7 @@ class ByteBPE:
         spelled = {token: "".join(chars[b] for b in token) for token in ranks}
         merges = []
         for token in sorted(ranks, key=ranks.__getitem__):
-            for k in range(1, len(token)):
-                if token[:k] in ranks and token[k:] in ranks:
-                    merges.append((spelled[token[:k]], spelled[token[k:]]))
+            merges += [(spelled[token[:k]], spelled[token[k:]]) for k in split_order(token, ranks)]
         model = models.BPE(vocab={spelled[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True)
         self.tokenizer = Tokenizer(model)
         self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence(
@@ -77,25 +84,34 @@ class ByteBPE:
             self.table[rank] = token
         self.lengths = np.array([len(t) for t in self.table], np.int64)
         self.known: dict[str, bytes] = {}
-        self.exact = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text.
 
         A single space between two other characters always begins a match of the
-        pattern, so texts are cut there and each distinct piece is encoded once.
+        pattern, so texts are cut there and each distinct piece is encoded once.  For the
+        same reason pieces that begin with such a space can be encoded in one string.
         """
         if len(self.known) > REMEMBERED:
             self.known.clear()
         known = self.known
         cut = [_CUT.split(t) for t in texts]
         new = [p for p in dict.fromkeys(itertools.chain.from_iterable(cut)) if p not in known]
-        for part in self._parts(new):
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                exact = self.exact.encode_ordinary(piece)
-                known[piece] = np.array(found.ids if found.ids == exact else exact, "<u4").tobytes()
+        inner = [p for p in new if p.startswith(" ") and not p[-1].isspace()]
+        for part in self._parts(inner):
+            (whole,) = self._ids(["".join(part)])
+            ends = np.cumsum(self.lengths[whole])
+            at = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in part])) + 1
+            for piece, own in zip(part, np.split(whole, at[:-1]), strict=True):
+                known[piece] = own.tobytes()
+        for part in self._parts([p for p in new if p not in known]):
+            for piece, own in zip(part, self._ids(part), strict=True):
+                known[piece] = own.tobytes()
         return [np.frombuffer(b"".join([known[p] for p in pieces]), "<u4") for pieces in cut]
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     @staticmethod
     def _parts(pieces: list[str]) -> Iterator[list[str]]:
         part, chars = [], 0
@@ -215,7 +231,11 @@ def _token_batches(batches, rank_file: str, pattern: str):
 
 
 def tokens(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids, and whether decoding the ids gave the text back."""
+    """id, n_tokens, ids, and whether decoding the ids gave the text back.
+
+    Null or empty text has no tokens; a null id stays null; repeated rows each
+    give a row; other columns are ignored; an empty table gives an empty result.
+    """
     small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     out = rows.mapInArrow(lambda batches: _token_batches(batches, rank_file, pattern), "_id long, ids array<int>, round_trip boolean")
@@ -243,7 +263,8 @@ def _digest_batches(batches, rank_file: str, pattern: str):
 
 def digests(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode() with its arrays reduced to counts and digests where they are made,
-    so that ids and bytes need not go back to the JVM."""
+    so that ids and bytes need not go back to the JVM.  Nulls, repeated rows and empty
+    tables as there."""
     small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     out = rows.mapInArrow(

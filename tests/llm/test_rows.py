@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -173,16 +174,23 @@ def test_pii_odd_rows(documents):
     assert pii.report(documents).count() == documents.count()
 
 
-def test_byte_bpe(documents, nothing):
+def _rank_encoder(rank_file, pattern):
+    import base64
+
     import tiktoken
 
+    with open(rank_file, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_byte_bpe(documents, nothing):
     rank_file, pattern = byte_vocabulary()
-    bpe = byte_bpe.load(rank_file, pattern)
-    assert isinstance(bpe.exact, tiktoken.Encoding)
+    bpe, exact = byte_bpe.load(rank_file, pattern), _rank_encoder(rank_file, pattern)
     got = byte_bpe.digests(documents, rank_file, pattern).collect()
     want = collections.Counter()
     for r in documents.collect():
-        ids = bpe.exact.encode_ordinary(r.text or "")
+        ids = exact.encode_ordinary(r.text or "")
         want[r.doc_id, len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()] += 1
     assert want == collections.Counter(tuple(r) for r in got)
     full = byte_bpe.encode(documents, rank_file, pattern, offsets=True).where("doc_id = 207").first()
@@ -193,6 +201,23 @@ def test_byte_bpe(documents, nothing):
     assert byte_bpe.digests(nothing, rank_file, pattern).count() == 0
 
 
+def test_byte_bpe_equals_the_rank_encoder():
+    """Also where overlapping pairs make one token, and on runs that are very long."""
+    rank_file, pattern = byte_vocabulary()
+    bpe, exact = byte_bpe.load(rank_file, pattern), _rank_encoder(rank_file, pattern)
+    rng = random.Random(5)
+    parts = ["ab", "aba", "a", "b", " ", "  ", "\n", "\t", "1", "12", "é", "漢", "字", "'s", "...", "--", "ABab", "😀", "\x1c", "\x85", "\u00a0"]
+    tokens = [t.decode() for t in bpe.table if not any(b & 0x80 for b in t)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(1, 40))) for _ in range(5000)]
+    texts += ["".join(rng.choice(tokens) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    for text, ids in zip(texts, bpe.encode(texts), strict=True):
+        assert ids.tolist() == exact.encode_ordinary(text)
+        assert bpe.decode(ids) == text.encode()
+    for text in (" " * 1_000_000, "a" * 1_000_000, "ab " * 300_000):
+        (ids,) = bpe.encode([text])
+        assert bpe.decode(ids) == text.encode()
+
+
 def test_language_id(spark, documents, nothing):
     stems = {"en": "the of and to in", "de": "der die und zu ein", "fr": "le la les et un"}
     rows = [(i, " ".join(stems[k].split()[(i * j) % 5] for j in range(1, 20)), k) for i in range(120) for k in [list(stems)[i % 3]]]
