@@ -4,8 +4,8 @@ Native: DataFrame functions only.  Lines become 128-bit hashes, which are
 range-partitioned and sorted by document and position; one pass over each
 partition tells first occurrences from later ones.  Between the stages travel
 hashes and bitmaps, no text.  Keys so frequent that a single one would fill a
-partition (each has at least HOT_SHARE of the lines, so they are few) are
-pre-aggregated on the map side instead.
+good part of a partition (hot_keys(); they are few) are pre-aggregated on the map
+side instead.
 """
 
 from __future__ import annotations
@@ -13,12 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, id_of, lower_ascii, materialise, order_id, text_of
+from .common import SPACES, id_of, let, lower_ascii, materialise, order_id, text_of
 
-#: A key with this share of all lines is hot; so there are at most 1 / HOT_SHARE.
-HOT_SHARE = 1 / 2000
-#: Keys that the search for hot ones tracks (bounds the size of its state).
-TRACKED = 20_000
+#: A key is hot if it has more than half a partition's share of the lines, so there are
+#: twice as many as partitions, between these bounds.
+FEWEST, MOST = 2000, 10_000
+#: Keys that the search for hot ones tracks for each that it may find (bounds its state).
+TRACKED = 10
 
 
 def line_key(line: Column) -> Column:
@@ -41,6 +42,14 @@ def _rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def hot_keys(lines: DataFrame) -> list[int]:
+    """The values of _h1 that are hot."""
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = min(max(FEWEST, 2 * parts), MOST)
+    found = lines.agg(F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_h1, {most}, {TRACKED * most})").alias("top")).first()
+    return [x["item"] for x in found["top"] or [] if x["count"] >= max(100, found["n"] / most)]
+
+
 def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
     """(_id, _doc, drops) of each document that loses lines.
 
@@ -50,10 +59,7 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bitmaps of their own.
     """
     lines = materialise(_lines(_rows(df, id_col, text_col), min_chars), "line-hashes")
-    found = lines.agg(
-        F.count(F.lit(1)).alias("n"), F.expr(f"approx_top_k(_h1, 1000, {TRACKED})").alias("top")
-    ).first()
-    hot = [x["item"] for x in found["top"] or [] if x["count"] >= max(100, found["n"] * HOT_SHARE)]
+    hot = hot_keys(lines)
     is_hot = F.col("_h1").isin(hot) if hot else F.lit(False)
     by_document = Window.partitionBy("_h1", "_h2").orderBy("_id", "_pos").rowsBetween(Window.unboundedPreceding, 0)
     later = (
@@ -68,7 +74,7 @@ def keep_bitmaps(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         first = lines.where(is_hot).groupBy("_h1", "_h2").agg(F.min("_id").alias("_first"))
         later = later.unionByName(
             lines.where(is_hot)
-            .join(F.broadcast(first), ["_h1", "_h2"])  # at most 1 / HOT_SHARE keys
+            .join(F.broadcast(first), ["_h1", "_h2"])  # at most MOST keys
             .where("_id > _first")
             .select("_id", "_doc", "_pos")
         )
@@ -93,19 +99,24 @@ def drop_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     * an empty table gives an empty result; other columns are ignored.
     """
     rows = _rows(df, id_col, text_col)
-    dropped = F.map_from_entries(F.coalesce("drops", F.expr("array()").cast("array<struct<word:int,bits:bigint>>")))
-    stays = F.expr(
-        "filter(split(_text, '\\n', -1), (x, i) -> (shiftright(coalesce(_drop[i >> 6], 0L), i & 63) & 1L) = 0)"
-    )
     return (
         rows.join(keep_bitmaps(df, id_col, text_col, min_chars), ["_id", "_doc"], "left")
-        .withColumn("_drop", dropped)
-        .select("_id", "_text", "drops", F.size(F.split("_text", "\n", -1)).cast("long").alias("n_lines"), stays.alias("_kept"))
+        .select("_id", "drops", let(F.split("_text", "\n", -1), _stay).alias("_out"))
         .select(
             id_of(F.col("_id")).alias(id_col),
-            "n_lines",
-            (F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
-            F.array_join("_kept", "\n").alias("text"),
+            F.col("_out.n_lines").cast("long").alias("n_lines"),
+            (F.col("_out.n_lines") - F.size("_out.kept")).cast("long").alias("n_dropped"),
+            F.array_join("_out.kept", "\n").alias("text"),
             "drops",
         )
     )
+
+
+def _stay(lines: Column) -> Column:
+    """n_lines and kept, the lines that the bitmap leaves: in time linear in the lines."""
+    positions = F.expr(
+        "flatten(transform(drops, d -> transform(filter(sequence(0, 63), b -> (shiftright(d.bits, b) & 1L) = 1L), b -> d.word * 64 + b)))"
+    )
+    gone = F.coalesce(positions, F.array().cast("array<int>"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.struct(F.size(lines).alias("n_lines"), F.transform(kept, lambda i: F.get(lines, i)).alias("kept"))
