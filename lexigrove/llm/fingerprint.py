@@ -11,6 +11,8 @@ by chance once in 2^BITS, which likeness() corrects for.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,11 +110,16 @@ def likeness(a: Column, b: Column) -> Column:
 RANGES = 4
 
 
+def _constant(values: list) -> Column:
+    """A list as one literal, however long."""
+    return F.lit(json.dumps(values))
+
+
 def _range_of(cuts: list[int], x: Column) -> Column:
-    """The number of cuts up to x, by binary search in a literal array."""
+    """The number of cuts up to x, by binary search in a constant array."""
     if not cuts:
         return F.lit(0)
-    table = F.array(*map(F.lit, cuts))
+    table = F.from_json(_constant(cuts), "array<bigint>")  # folded into a literal
     pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
 
     def halve(s: Column, _: Column) -> Column:
@@ -131,17 +138,18 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     range is sorted by itself, and a copy of the first row of the following range
     (one for each range) closes it.
     """
-    n = RANGES * max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    spark = rows.sparkSession
+    n = RANGES * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ids = rows.select("_id")
-    found = ids.agg(F.percentile_approx("_id", [i / n for i in range(1, n)], 10 * n).alias("cuts")).first()["cuts"]
+    shares = F.from_json(_constant([i / n for i in range(1, n)]), "array<double>")
+    found = ids.agg(F.percentile_approx("_id", shares, 10 * n).alias("cuts")).first()["cuts"]
     cuts = sorted(set(found or []))
     of = _range_of(cuts, F.col("_id"))
     firsts = sorted(tuple(r) for r in ids.groupBy(of.alias("r")).agg(F.min("_id")).collect())  # a row for each range
     if not firsts:
         return rows.withColumn("_next", F.struct(*columns))
-    before = {first: firsts[k - 1][0] for k, (_, first) in enumerate(firsts)}
-    back = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])
-    closing = rows.where(F.col("_id").isin(*before)).select("*", back[F.col("_id")].alias("_range"), F.lit(True).alias("_closing"))
+    closes = spark.createDataFrame([(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)], "_id long, _range int")
+    closing = rows.join(closes, "_id").select(*rows.columns, "_range", F.lit(True).alias("_closing"))
     inside = Window.partitionBy("_range").orderBy("_closing", "_id", *columns)
     return (
         rows.select("*", of.alias("_range"), F.lit(False).alias("_closing"))
@@ -157,7 +165,8 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Null text counts as empty; a text without words has the empty fingerprint; a
     text of fewer than SHINGLE words has one shingle, all of them; repeated rows
-    each get a row; other columns are ignored.
+    each get a row; a null id stays null; other columns are ignored; an empty table
+    gives an empty result.
     """
     return df.select(F.col(id_col), fingerprint(text_of(text_col)).alias("fingerprint"))
 
