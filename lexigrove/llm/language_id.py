@@ -4,9 +4,9 @@ Each language has a probability for every piece of a fixed public vocabulary.
 The probability of a word is the sum, over all ways to cut it into pieces, of
 the product of their probabilities (forward algorithm); that of a text is the
 product over its words.  Piece probabilities are fitted by
-expectation-maximisation with the forward-backward algorithm on the words of a
-bounded sample of labelled rows (``per_language`` texts and ``words`` distinct
-words of each language); prediction reads every row and whole text.
+expectation-maximisation with the forward-backward algorithm on all words of a
+bounded sample of labelled rows (``per_language`` texts of each language), one task
+for each language; prediction reads every row and whole text.
 """
 
 from __future__ import annotations
@@ -16,19 +16,17 @@ import re
 from collections import Counter
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, id_of, order_id, small_batches, text_of
 from .kernels import tidy
 
-#: Labelled texts of each language that the model is fitted on, and their most frequent words.
+#: Labelled texts of each language that the model is fitted on.
 PER_LANGUAGE = 3000
-FIT_WORDS = 20_000
 ITERATIONS = 4
-#: Longest piece in characters; longer runs of letters are cut at MAX_WORD.
-MAX_PIECE = 12
-MAX_WORD = 48
+#: Words of this length or more are scored one at a time, with a scale of their own.
+LONG_WORD = 48
 #: Probability of a character by itself where no piece fits, and the weight of a piece never seen.
 FLOOR = 1e-7
 UNSEEN = 0.01
@@ -50,17 +48,17 @@ def pieces(vocabulary: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
     found = {model.id_to_piece(i).lower() for i in range(model.get_piece_size()) if not model.is_control(i)}
-    return sorted(p for p in found if p.removeprefix(_MARK).isalpha() and len(p) <= MAX_PIECE)
+    return sorted(p for p in found if p.removeprefix(_MARK).isalpha())
 
 
-def _hashes(codes: np.ndarray) -> list[np.ndarray]:
-    """For m = 1, 2, ...: the hash of the m characters that begin at each column."""
+def _hashes(codes: np.ndarray, longest: int) -> list[np.ndarray]:
+    """For m = 1, 2, ... longest: the hash of the m characters that begin at each column."""
     from .kernels import mix
 
     n = codes.shape[1]
     out, value = [], np.zeros(codes.shape, np.uint64)
     with np.errstate(over="ignore"):
-        for m in range(1, min(MAX_PIECE, n) + 1):
+        for m in range(1, min(longest, n) + 1):
             value = mix((value[:, : n - m + 1] + codes[:, m - 1 :]) * _MUL)
             out.append(value)
     return out
@@ -75,17 +73,18 @@ class Pieces:
     """Finds the pieces in words of equal length."""
 
     def __init__(self, names: list[str]) -> None:
-        keys = np.array([_hashes(_codes([p], len(p)))[-1][0, 0] for p in names], np.uint64)
-        self.order = np.argsort(keys)
+        keys = np.array([_hashes(_codes([p], len(p)), len(p))[-1][0, 0] for p in names], np.uint64)
+        self.order = np.argsort(keys).astype(np.int32)
         self.keys = keys[self.order]
         self.size = len(names)
+        self.longest = max(map(len, names), default=0)
 
     def spans(self, words: list[str], width: int):
         """For m = 1, 2, ...: (words, starts) -> piece number, or ``size`` where there is none."""
         out = []
-        for value in _hashes(_codes(words, width)):
+        for value in _hashes(_codes(words, width), self.longest):
             at = np.minimum(np.searchsorted(self.keys, value), len(self.keys) - 1)
-            out.append(np.where(self.keys[at] == value, self.order[at], self.size))
+            out.append(np.where(self.keys[at] == value, self.order[at], np.int32(self.size)))
         return out
 
 
@@ -112,43 +111,71 @@ def _by_length(words: list[str]) -> dict[int, list[int]]:
     return groups
 
 
-def fit(counts: dict[str, Counter], names: list[str]) -> tuple[list[str], np.ndarray]:
-    """(languages, table) by expectation-maximisation on word counts of each language."""
-    finder, languages = Pieces(names), sorted(counts)
+def _log_forward(spans, table: np.ndarray, width: int) -> np.ndarray:
+    """Log probability of one word of any length: alpha is scaled as it goes."""
+    near: list[tuple[np.ndarray, float]] = [(np.ones(table.shape[1]), 0.0)]  # of the last positions: value, log scale
+    for end in range(1, width + 1):
+        scale = near[-1][1]
+        total = near[-1][0] * FLOOR
+        for m in range(1, min(len(spans), end) + 1):
+            piece = spans[m - 1][0, end - m]
+            if piece < len(table) - 1:
+                value, own = near[-m]
+                total = total + value * table[piece] * np.exp(own - scale) / _GAIN**m
+        top = total.max()
+        near.append((total / top, scale + np.log(top)))
+        if len(near) > len(spans):
+            near.pop(0)
+    return np.log(near[-1][0]) + near[-1][1]
+
+
+def fit(counts: dict[str, int], names: list[str]) -> np.ndarray:
+    """Probabilities of the pieces, by expectation-maximisation on the word counts of a language.
+
+    Words are cut into pieces anew in every round, so memory is that of one slice of words.
+    Runs of LONG_WORD letters or more, which have no scale of their own here, teach nothing;
+    in prediction they count like others.
+    """
+    finder = Pieces(names)
     gain = _GAIN ** np.array([len(p) for p in names] + [0], float)
-    table = np.zeros((len(names) + 1, len(languages)))
-    for k, language in enumerate(languages):
-        words = sorted(counts[language])
-        weight = np.array([counts[language][w] for w in words], float)
-        lattice = []
-        for width, at in _by_length(words).items():
-            for lo in range(0, len(at), 5000):
-                part = at[lo : lo + 5000]
-                lattice.append((width, finder.spans([words[i] for i in part], width), weight[part]))
-        p = np.full(len(names) + 1, 1.0 / len(names))
-        for _ in range(ITERATIONS):
-            seen = np.zeros(len(names) + 1)
-            one = (p * gain)[:, None]
-            one[-1] = 0
-            for width, spans, times in lattice:
-                alpha = _forward(spans, one, width)[:, :, 0]
-                beta = np.zeros_like(alpha)
-                beta[width] = 1.0
-                for start in range(width - 1, -1, -1):
-                    total = beta[start + 1] * (FLOOR * _GAIN)
-                    for m in range(1, min(len(spans), width - start) + 1):
-                        total += one[spans[m - 1][:, start], 0] * beta[start + m]
-                    beta[start] = total
-                scale = times / alpha[width]
-                for m, ids in enumerate(spans, 1):
-                    for start in range(ids.shape[1]):
-                        at = ids[:, start]
-                        gain_here = alpha[start] * one[at, 0] * beta[start + m] * scale
-                        seen += np.bincount(at, gain_here, len(seen))
-            seen[-1] = 0
-            p = (seen + UNSEEN) / (seen.sum() + UNSEEN * len(names))
-        table[:-1, k] = (p * gain)[:-1]
-    return languages, table
+    slices = []
+    for width, at in _by_length(words := sorted(counts)).items():
+        step = max(1, 60_000 // width)
+        slices += [(width, [words[i] for i in at[lo : lo + step]]) for lo in range(0, len(at), step)]
+    p = np.full(len(names) + 1, 1.0 / len(names))
+    for _ in range(ITERATIONS):
+        seen = np.zeros(len(names) + 1)
+        one = (p * gain)[:, None]
+        one[-1] = 0
+        for width, part in slices:
+            if width >= LONG_WORD:
+                continue
+            spans, times = finder.spans(part, width), np.array([counts[w] for w in part], float)
+            alpha = _forward(spans, one, width)[:, :, 0]
+            beta = np.zeros_like(alpha)
+            beta[width] = 1.0
+            for start in range(width - 1, -1, -1):
+                total = beta[start + 1] * (FLOOR * _GAIN)
+                for m in range(1, min(len(spans), width - start) + 1):
+                    total += one[spans[m - 1][:, start], 0] * beta[start + m]
+                beta[start] = total
+            scale = times / alpha[width]
+            for m, ids in enumerate(spans, 1):
+                for start in range(ids.shape[1]):
+                    at = ids[:, start]
+                    seen += np.bincount(at, alpha[start] * one[at, 0] * beta[start + m] * scale, len(seen))
+        seen[-1] = 0
+        p = (seen + UNSEEN) / (seen.sum() + UNSEEN * len(names))
+    return p[:-1]
+
+
+def table_of(probabilities: list[np.ndarray], names: list[str]) -> np.ndarray:
+    """(pieces + 1, languages): probabilities times _GAIN ** length, the last row of zeros."""
+    gain = _GAIN ** np.array([len(p) for p in names], float)
+    table = np.zeros((len(names) + 1, len(probabilities)))
+    for k, p in enumerate(probabilities):
+        table[:-1, k] = p * gain
+    return table
 
 
 def words_of(text: str) -> list[str]:
@@ -159,10 +186,7 @@ def words_of(text: str) -> list[str]:
             run = "".join(filter(str.isalpha, run))
             if not run:
                 continue
-        if len(run) < MAX_WORD:
-            out.append(_MARK + run)
-        else:
-            out += [_MARK + run[i : i + MAX_WORD] for i in range(0, len(run), MAX_WORD)]
+        out.append(_MARK + run)
     return out
 
 
@@ -180,6 +204,10 @@ class Scorer:
     def add(self, words: list[str]) -> None:
         logs = np.empty((len(words), self.table.shape[1]))
         for width, at in _by_length(words).items():
+            if width >= LONG_WORD:
+                for i in at:
+                    logs[i] = _log_forward(self.finder.spans([words[i]], width), self.table, width)
+                continue
             for lo in range(0, len(at), 20_000):
                 part = at[lo : lo + 20_000]
                 spans = self.finder.spans([words[i] for i in part], width)
@@ -218,6 +246,14 @@ def _count_batches(batches):
             yield pa.RecordBatch.from_pydict({"lang": lang, "word": word, "n": pa.array(n, pa.int64())})
 
 
+def _fit_language(key, table, vocabulary: str):
+    import pyarrow as pa
+
+    words = dict(zip(table.column("word").to_pylist(), table.column("n").to_pylist(), strict=True))
+    p = fit(words, pieces(vocabulary))
+    return pa.Table.from_pydict({"lang": [key[0].as_py()], "p": pa.array([p.tolist()], pa.list_(pa.float64()))})
+
+
 def train(
     df: DataFrame,
     vocabulary: str,
@@ -225,13 +261,12 @@ def train(
     text_col: str = "text",
     lang_col: str = "lang",
     per_language: int = PER_LANGUAGE,
-    words: int = FIT_WORDS,
 ):
     """(languages, log priors, table) from rows with a text and a language.
 
     Priors are counted over all rows; pieces are fitted on about ``per_language``
-    texts of each language, chosen by a hash of the id, and their ``words`` most
-    frequent words.
+    texts of each language, chosen by a hash of the id, and all their words.
+    Nothing to learn from gives no languages.
     """
     small_batches(df.sparkSession)
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -241,23 +276,20 @@ def train(
     spread = 1 << 30
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, int(spread * min(1.0, per_language / n)))])
     sample = rows.where(F.pmod(F.xxhash64(order_id(id_col)), F.lit(spread)) < share[F.col(lang_col)])
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    counted = (
+    fitted = (
         sample.select(F.col(lang_col).alias("lang"), text_of(text_col).alias("text"))
         .mapInArrow(_count_batches, "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
-        .withColumn("_rank", F.row_number().over(top))
-        .where(F.col("_rank") <= words)
-        .select("lang", "word", "n")
-        .toArrow()  # at most ``words`` rows of each language
+        .groupBy("lang")  # the words of at most about ``per_language`` texts
+        .applyInArrow(lambda key, table: _fit_language(key, table, vocabulary), "lang string, p array<double>")
+        .toArrow()  # pieces of the vocabulary x languages
     )
-    counts: dict[str, Counter] = {k: Counter() for k in sizes}
-    for lang, word, n in zip(*(c.to_pylist() for c in counted.columns), strict=True):
-        counts[lang][word] = n
-    languages, table = fit(counts, pieces(vocabulary))
-    total = sum(sizes.values())
-    return languages, np.array([np.log(sizes[k] / total) for k in languages]), table
+    names = pieces(vocabulary)
+    found = {k: np.array(p) for k, p in zip(fitted.column(0).to_pylist(), fitted.column(1).to_pylist(), strict=True)}
+    languages, total = sorted(sizes), sum(sizes.values())
+    flat = np.full(len(names), 1.0 / len(names))  # a language without a word in the sample
+    return languages, np.array([np.log(sizes[k] / total) for k in languages]), table_of([found.get(k, flat) for k in languages], names)
 
 
 @tidy
@@ -294,7 +326,8 @@ def predict(df: DataFrame, model, vocabulary: str, id_col: str = "doc_id", text_
     """One row per input row: _id, lang_pred, score (posterior of lang_pred, 0 to 1).
 
     ``und`` with score 0 where the text is null, empty or has no letter, or where
-    there was nothing to learn from.  Ties go to the first language by name.
+    there was nothing to learn from.  Ties go to the first language by name.  A null
+    id is ordered last; an empty table gives an empty result.
     """
     spark = df.sparkSession
     shared = spark.sparkContext.broadcast(model)  # pieces of the vocabulary x languages
@@ -324,7 +357,9 @@ def keep_identified(
     df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5
 ) -> DataFrame:
     """The rows whose language is told with a score of ``least`` or more, with all
-    their columns; the model is that of identify().  Texts without letters go."""
+    their columns; the model is that of identify().  Texts without letters, null and
+    empty ones go; rows with a null id and repeated rows are judged like others; an
+    empty table gives an empty result."""
     model = train(df.where(fold(id_col, 3) != 1), vocabulary, id_col, text_col, lang_col)
     shared = df.sparkSession.sparkContext.broadcast(model)  # pieces of the vocabulary x languages
     at = df.columns.index(text_col)

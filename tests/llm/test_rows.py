@@ -329,6 +329,45 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(logs[0]), want, rtol=1e-6)
 
 
+def _log_by_hand(word, prob, k):
+    """Sum over all segmentations, scaled as whole logarithms."""
+    logs = [0.0]
+    for end in range(1, len(word) + 1):
+        terms = [logs[end - 1] + math.log(language_id.FLOOR)]
+        terms += [logs[end - m] + math.log(prob[word[end - m : end]][k]) for m in range(1, min(end, 40) + 1) if word[end - m : end] in prob]
+        top = max(terms)
+        logs.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+    return logs[-1]
+
+
+def test_language_id_by_hand(spark):
+    """Every prediction and score, from the fitted table, by a plain sum over segmentations."""
+    rng = random.Random(4)
+    stems = {"en": "the of and to in house river", "de": "der die und zu ein haus fluß", "fr": "le la les et un maison rivière"}
+    rows = [(i, " ".join(rng.choice(stems[k].split()) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", " 12", "!"]), k) for i in range(90) for k in [list(stems)[i % 3]]]
+    rows += [(900, "der " + "und" * 60, "de"), (901, "x" * 5000 + " les", "fr"), (902, "Le_La-les2et", None), (903, "…", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    vocabulary = piece_vocabulary()
+    taught = df.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1)
+    languages, prior, table = language_id.train(taught, vocabulary)
+    names = language_id.pieces(vocabulary)
+    sizes = collections.Counter(k for i, _, k in rows if k and zlib.crc32(str(i).encode()) % 3 != 1)
+    assert languages == sorted(sizes) and all(math.isclose(prior[languages.index(k)], math.log(n / sum(sizes.values()))) for k, n in sizes.items())
+    prob = {p: table[i] / language_id._GAIN ** len(p) for i, p in enumerate(names)}
+    assert all(abs(sum(table[i][k] / language_id._GAIN ** len(p) for i, p in enumerate(names)) - 1) < 1e-6 for k in range(len(languages)))
+    got = {r.doc_id: r for r in language_id.identify(df, vocabulary).collect()}
+    for i, text, _ in rows:
+        runs = ["▁" + "".join(filter(str.isalpha, x)) for x in re.findall(r"[^\W\d_]+", text.lower())]
+        runs = [x for x in runs if len(x) > 1]
+        if not runs:
+            assert (got[i].lang_pred, got[i].score) == ("und", 0.0)
+            continue
+        logs = [prior[k] + sum(_log_by_hand(x, prob, k) for x in runs) for k in range(len(languages))]
+        best = max(range(len(logs)), key=logs.__getitem__)
+        assert got[i].lang_pred == languages[best]
+        assert math.isclose(got[i].score, 1 / sum(math.exp(x - logs[best]) for x in logs), rel_tol=1e-6)
+
+
 @pytest.fixture(scope="module")
 def table_dir(documents, tmp_path_factory):
     where = tmp_path_factory.mktemp("tables")
