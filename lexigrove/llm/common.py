@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LONG_MAX = (1 << 63) - 1
 
 _written: list[tuple[SparkSession, str]] = []
+_own = threading.local()  # the tables that this thread wrote, so queries built at once leave each other's alone
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,22 +103,30 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/lexigrove/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    _tables().append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out.table_path = path
     return out
 
 
+def _tables() -> list[tuple[SparkSession, str]]:
+    if not hasattr(_own, "tables"):
+        _own.tables = []
+    return _own.tables
+
+
 def written() -> int:
-    """How many tables are written: a mark for discard()."""
-    return len(_written)
+    """How many tables this thread has written: a mark for discard()."""
+    return len(_tables())
 
 
 def discard(since: int, *keep: DataFrame) -> None:
-    """Delete the tables written after a mark, but for those that are still to be read."""
-    held = {df.table_path for df in keep}
-    for spark, path in [w for w in _written[since:] if w[1] not in held]:
-        _delete(spark, path)
-        _written.remove((spark, path))
+    """Delete the tables that this thread wrote after a mark, but for those that are still to be read."""
+    held, tables = {df.table_path for df in keep}, _tables()
+    for table in [t for t in tables[since:] if t[1] not in held]:
+        _delete(*table)
+        tables.remove(table)
+        _written.remove(table)
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, written
 from .kernels import tidy
 
-#: Bits of the filter that spares most texts a second look; a fuller filter only lets more through.
-FILTER_BITS = 1 << 23
+#: Bits of the filter that spares most texts a second look: as many for each id, within bounds
+#: (1 to 16 MB).  A fuller filter only lets more through.
+BITS_PER_ID = 16
+FEWEST_BITS, MOST_BITS = 1 << 23, 1 << 27
+#: Sets that are compared with each other at once, and columns of the matrix that does it.
+BLOCK, COLUMNS = 256, 4096
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -51,21 +55,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bit for each value of crc32(id as text) modulo FILTER_BITS, as 64-bit words."""
-    at = (F.crc32(F.col(column).cast("string").cast("binary")) % FILTER_BITS).alias("_at")
+    """A bit for each value of crc32(id as text) modulo the number of bits, as 64-bit words."""
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (BITS_PER_ID * ids.count()).bit_length()))
+    at = (F.crc32(F.col(column).cast("string").cast("binary")) % bits).alias("_at")
     words = (
         ids.select(at)
         .groupBy((F.shiftright("_at", 6)).cast("int").alias("_word"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(_at & 63 as int))")).alias("_bits"))
-        .toArrow()  # at most FILTER_BITS / 64 rows
+        .toArrow()  # at most MOST_BITS / 64 rows
     )
-    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[words.column(0).to_numpy()] = words.column(1).to_numpy()
     return out
 
 
 def may_hold(bits: np.ndarray, value: int) -> bool:
-    at = zlib.crc32(str(value).encode()) % FILTER_BITS
+    at = zlib.crc32(str(value).encode()) % (64 * len(bits))
     return bool(int(bits[at >> 6]) >> (at & 63) & 1)
 
 
@@ -126,3 +131,67 @@ def links(postings: DataFrame, stars, pairs_between, sets_of, numerator: int, de
     )
     open_ones = materialise(placed.join(mixed, "token"), "open-postings")
     return first.unionByName(verified(pairs_between(open_ones), sets_of, numerator, denominator))
+
+
+def shared_counts(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """How many items each two of the sets share: products of slices of the matrix of sets and items."""
+    n = len(offsets) - 1
+    row = np.repeat(np.arange(n), np.diff(offsets))
+    _, column, often = np.unique(values, return_inverse=True, return_counts=True)
+    met = often[column] > 1
+    row, column = row[met], column[met]
+    renumbered = np.cumsum(often > 1) - 1
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], renumbered[column[order]]
+    out = np.zeros((n, n), np.float64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        a, b = np.searchsorted(column, (lo, lo + COLUMNS))
+        part = np.zeros((n, COLUMNS), np.float32)
+        part[row[a:b], column[a:b] - lo] = 1
+        out += part @ part.T
+    return out.astype(np.int64)
+
+
+@tidy
+def _degree_batches(batches, numerator: int, denominator: int):
+    import pyarrow as pa
+
+    for batch in batches:
+        lists = batch.column("sets")
+        edges, flat = lists.offsets.to_numpy(), lists.values
+        ids, members, blocks = (flat.field(k).to_numpy() for k in ("id", "members", "block"))
+        items = flat.field("items")
+        starts, values = items.offsets.to_numpy(), items.values.to_numpy()
+        for k in range(len(batch)):
+            lo, hi = edges[k], edges[k + 1]
+            own = starts[lo : hi + 1]
+            size = np.diff(own)
+            common = shared_counts(own - own[0], values[own[0] : own[-1]])
+            linked = denominator * common >= numerator * (size[:, None] + size[None, :] - common)
+            np.fill_diagonal(linked, False)
+            if batch.column("lo")[k].as_py() != batch.column("hi")[k].as_py():
+                linked &= blocks[lo:hi][:, None] != blocks[lo:hi][None, :]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(linked @ members[lo:hi])], names=["id", "n"])
+
+
+def degrees(classes: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(id, n): members of the other classes that a class links with, exactly.
+
+    classes: (id, component, members); sets: (id, items) of at least the classes in components
+    of three classes or more.  Links never leave a component, so all pairs of a component are
+    all that there is to compare: BLOCK sets against BLOCK others at a time, in tasks that a
+    large component is spread over.  Pairs are counted where they are compared and never made rows.
+    """
+    of = classes.groupBy("component").agg(F.count(F.lit(1)).alias("g"), F.sum("members").alias("every"))
+    placed = classes.join(of.where("g > 1"), "component")
+    two = placed.where("g = 2").select("id", (F.col("every") - F.col("members")).alias("n"))
+    blocks = F.ceil(F.col("g") / BLOCK)
+    many = placed.where("g > 2").select("id", "component", "members", blocks.alias("blocks"), F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"))
+    spread = many.join(sets, "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    grouped = (
+        spread.groupBy("component", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        .agg(F.collect_list(F.struct("id", "members", "block", "items")).alias("sets"))
+        .select("lo", "hi", "sets")
+    )
+    counted = grouped.mapInArrow(lambda batches: _degree_batches(batches, numerator, denominator), "id long, n long")
+    return two.unionByName(counted.groupBy("id").agg(F.sum("n").alias("n")))

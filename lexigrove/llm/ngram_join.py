@@ -8,12 +8,16 @@ least estimated cost, from the exact list lengths of its prefix shingles; a pair
 uses the smaller l of its two documents.  What passes is verified on the whole sets.
 
 Documents of equal sets are one class from the start.  Candidates of a token are
-compared with one hub first, and in pairs only across components (linking.links),
-so a large group of near copies needs no comparison of all its pairs.
+compared with one hub first, and in pairs only across components (linking.links).
+Links never leave a component, so the links of a document are then counted inside its
+component, in blocks (linking.degrees).
 """
 
 from __future__ import annotations
 
+import functools
+import hashlib
+import math
 import zlib
 
 import numpy as np
@@ -22,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, id_of, materialise, order_id, small_batches, text_of, written
 from .kernels import tidy
-from .linking import connected_components, id_filter, links, may_hold
+from .linking import connected_components, degrees, id_filter, links, may_hold
 
 #: Buckets of the counts that order shingles; a fixed 16 MB.
 SKETCH_BITS = 23
@@ -35,6 +39,11 @@ MOST_MATCHES = 8
 VERIFY_COST = 1 / 32
 
 
+def _digest(found: np.ndarray) -> np.ndarray:
+    """128 bits that tell sets apart, as two numbers."""
+    return np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+
+
 def _sets(batches, size: int):
     from .kernels import shingle_set, utf8_views, word_hashes
 
@@ -90,10 +99,16 @@ def _add_batches(batches):
 
 
 def shingle_counts(rows: DataFrame, size: int) -> np.ndarray:
-    """Counts of all documents' shingles by hash bucket (a fixed number of buckets)."""
+    """Counts of all documents' shingles by hash bucket (a fixed number of buckets).
+
+    The tasks' counts are added in two levels, so no task adds those of all the others.
+    """
     schema = "part int, counts binary"
+    fan = max(1, math.isqrt(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     parts = (
         rows.mapInArrow(lambda batches: _sketch_batches(batches, size), schema)
+        .repartition("part", F.pmod(F.spark_partition_id(), F.lit(fan)))
+        .mapInArrow(_add_batches, schema)
         .repartition("part")
         .mapInArrow(_add_batches, schema)
         .collect()
@@ -106,8 +121,6 @@ def shingle_counts(rows: DataFrame, size: int) -> np.ndarray:
 
 @tidy
 def _prefix_batches(batches, counts, size: int, percent: int):
-    import hashlib
-
     import pyarrow as pa
 
     counts, rows = counts.value, []
@@ -132,7 +145,7 @@ def _prefix_batches(batches, counts, size: int, percent: int):
         if rows and (batch is not last or len(rows) >= 2000):
             yield flush(last)
         last, n = batch, len(found)
-        digest = np.frombuffer(hashlib.blake2b(found.tobytes(), digest_size=16).digest(), np.int64)
+        digest = _digest(found)
         often = counts[(found >> shift).astype(np.int64)]
         need = -(-percent * n // 100)
         order = np.lexsort((found, often))[: n - need + MOST_MATCHES] if n else np.empty(0, np.int64)
@@ -152,11 +165,12 @@ def _set_batches(batches, wanted, size: int):
         at = [i for i, x in enumerate(ids) if may_hold(wanted.value, x)]
         for lo in range(0, len(at), 1000):
             part = pa.array(at[lo : lo + 1000])
-            views = utf8_views(batch.column("_text").take(part))
+            found = [shingle_set(word_hashes(v), size) for v in utf8_views(batch.column("_text").take(part))]
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": batch.column("_id").take(part),
-                    "items": pa.array([shingle_set(word_hashes(v), size).view(np.int64) for v in views], pa.list_(pa.int64())),
+                    "digest": pa.array([int(_digest(x)[0]) for x in found], pa.int64()),
+                    "items": pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())),
                 }
             )
 
@@ -217,14 +231,15 @@ def _pairs_between(percent: int):
 
 
 def similar_sets(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80, count_links: bool = True
 ) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, n_copies.
+    """One row per input row: id, n_shingles, component_id, n_copies, n_links.
 
     Texts link when 100 * |A and B| >= percent * |A or B| on their sets of distinct
     ``size``-word shingles (fewer words: the whole sequence as one).  component_id
     is the smallest id that links reach; n_copies the number of other rows with an
-    equal set.
+    equal set; n_links that of all other rows that the row links with, copies among
+    them (absent without ``count_links``).
 
     * null, empty or blank text has an empty set and links with nothing;
     * a null id is ordered after all others and comes back as null;
@@ -263,31 +278,46 @@ def similar_sets(
     last = F.col("size") - F.ceil(F.col("size") * percent / 100) + F.col("matches")
     adaptive = materialise(shared.join(chosen, "id").where(F.col("pos") < last), "adaptive-postings")
 
+    read: list[DataFrame] = []
+
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = spark.sparkContext.broadcast(id_filter(ids, "id"))
-        sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted, size), "id long, items array<long>")
-        return materialise(sets.join(ids, "id", "left_semi"), "sets")
+        sets = rows.mapInArrow(lambda batches: _set_batches(batches, wanted, size), "id long, digest long, items array<long>")
+        read.append(materialise(sets.join(ids, "id", "left_semi"), "sets"))
+        return read[-1]
 
     found = connected_components(links(adaptive, _stars(percent), _pairs_between(percent), sets_of, percent, 100))
-    discard(begun, found)
-    labelled = classes.select("d1", "d2", "class_id", "members").join(
-        found.select(F.col("node").alias("class_id"), "component"), "class_id", "left"
-    )
+    placed = classes.join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left").select("d1", "d2", "class_id", "members", "component")
+    if count_links:
+        linked = placed.where("component IS NOT NULL").select(F.col("d1").alias("id"), "component", "members")
+        every = functools.reduce(DataFrame.unionByName, read).groupBy(F.col("digest").alias("id")).agg(F.first("items").alias("items"))
+        counted = degrees(linked, every, percent, 100).select(F.col("id").alias("d1"), F.col("n").alias("others"))
+        placed = materialise(placed.join(counted, "d1", "left"), "labelled")
+        discard(begun, placed)
+    else:
+        discard(begun, found)
+    copies = F.coalesce("members", F.lit(1)) - 1
+    links_ = [(copies + F.coalesce("others", F.lit(0))).alias("n_links")] if count_links else []
     return (
         prefixed.select("id", "size", "d1", "d2")
-        .join(labelled, ["d1", "d2"], "left")
+        .join(placed, ["d1", "d2"], "left")
         .select(
             id_of(F.col("id")).alias(id_col),
             F.col("size").alias("n_shingles"),
             id_of(F.coalesce("component", "class_id", "id")).alias("component_id"),
-            (F.coalesce("members", F.lit(1)) - 1).alias("n_copies"),
+            copies.alias("n_copies"),
+            *links_,
         )
     )
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows that stay: one document of each component, with all their columns."""
-    found = similar_sets(df.select(id_col, text_col), id_col, text_col, size, percent)
+    """The rows that stay: one document of each component, with all their columns.
+
+    Texts without words all stay; repeated rows of a document that stays do too; nulls,
+    ties and empty tables as in similar_sets().
+    """
+    found = similar_sets(df.select(id_col, text_col), id_col, text_col, size, percent, count_links=False)
     own = found.select(order_id(id_col).alias("_own"), order_id("component_id").alias("_group"))
     stays = own.where("_own = _group").select("_own").distinct()
     return df.select(F.struct("*").alias("_row"), order_id(id_col).alias("_own")).join(stays, "_own", "left_semi").select("_row.*")

@@ -52,6 +52,10 @@ def test_similar_sets(documents, size, percent):
     for r in got:
         i = LAST if r.doc_id is None else r.doc_id
         assert (LAST if r.component_id is None else r.component_id) == want[i]
+    sets = [shingles(t, size) for _, t in rows]
+    linked = [sum(bool(s and t and 100 * len(s & t) >= percent * len(s | t)) for t in sets) - bool(s) for s in sets]
+    # Rows of one id with other texts are one node; their links are their own.
+    assert collections.Counter((i, n) for (i, _), n in zip(rows, linked, strict=True)) == collections.Counter((r.doc_id, r.n_links) for r in got)
     sizes = collections.Counter((i, len(shingles(t, size))) for i, t in rows)
     assert sizes == collections.Counter((r.doc_id, r.n_shingles) for r in got)
 
@@ -66,8 +70,11 @@ def test_large_group_of_near_copies(spark):
             w[rng.randrange(len(w))] = f"e{rng.randrange(10_000)}"
         rows.append((i, " ".join(w)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in ngram_join.similar_sets(df, size=4, percent=85).collect()}
-    assert got == components(rows, 4, 85)
+    found = ngram_join.similar_sets(df, size=4, percent=85).collect()
+    assert {r.doc_id: r.component_id for r in found} == components(rows, 4, 85)
+    sets = {i: shingles(t, 4) for i, t in rows}
+    links = {i: sum(100 * len(s & t) >= 85 * len(s | t) for t in sets.values()) - 1 for i, s in sets.items()}
+    assert {r.doc_id: r.n_links for r in found} == links and len(rows) > linking.BLOCK
 
 
 def test_one_of_each(documents, nothing):
