@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from lexigrove.plans import shapes
+from lexigrove.plans import flagship, shapes
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents labels conversations".split()
@@ -27,9 +27,12 @@ def canon(rows):
     return sorted(tuple(map(show, r)) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(shapes.QUERIES))
+QUERIES, SQL = shapes.QUERIES | flagship.QUERIES, shapes.SQL | flagship.SQL
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_shape(spark, duck, name):
-    df = shapes.QUERIES[name](spark, DATA)
-    want = duck.sql(shapes.SQL[name])
+    df = QUERIES[name](spark, DATA)
+    want = duck.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert canon(map(tuple, df.collect())) == canon(want.select(*[f'"{c}"' for c in df.columns]).fetchall())
