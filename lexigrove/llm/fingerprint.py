@@ -149,7 +149,8 @@ def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
     if not firsts:
         return rows.withColumn("_next", F.struct(*columns))
     closes = spark.createDataFrame([(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)], "_id long, _range int")
-    closing = rows.join(closes, "_id").select(*rows.columns, "_range", F.lit(True).alias("_closing"))
+    # One row for each range, and no shuffle of texts for it.
+    closing = rows.join(F.broadcast(closes), "_id").select(*rows.columns, "_range", F.lit(True).alias("_closing"))
     inside = Window.partitionBy("_range").orderBy("_closing", "_id", *columns)
     return (
         rows.select("*", of.alias("_range"), F.lit(False).alias("_closing"))
