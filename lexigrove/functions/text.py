@@ -69,6 +69,14 @@ def destem(text: Column, stem: int, name: str = "kana") -> Column:
     return F.regexp_extract(text, f"(?s)\\A(.*?)(?:{own}(?:(?!{own}).)*+){{{stem}}}\\z", 1)
 
 
+def destem_by(text: Column, stem: Column, most: int = 5) -> Column:
+    """destem() by a column of 0 to ``most``."""
+    out = text
+    for k in range(1, most + 1):
+        out = F.when(stem == k, destem(text, k)).otherwise(out)
+    return out
+
+
 def pieces(text: Column, pattern: str) -> Column:
     """The text as array<struct<matched: boolean, text: string, start: int, stop: int>>."""
     whole = F.lit(f"(?s)(.*?)({pattern}|\\z)")

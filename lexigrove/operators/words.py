@@ -9,7 +9,7 @@ from ..functions import text as tx
 from ..functions.romaji import romaji_spellings
 from ..sources.lexicon import Lexicon
 from .lookups import common_rank
-from .segment import analysis
+from .segment import analysed
 
 
 def word_info(words: DataFrame, features: DataFrame, root_only: bool = False) -> DataFrame:
@@ -18,7 +18,7 @@ def word_info(words: DataFrame, features: DataFrame, root_only: bool = False) ->
     wanted = words.select("text", "reading").distinct()
     found = wanted.join(features, "text").where(F.col("reading").isNull() | (F.col("kana") == F.col("reading")))
     found = found.where("root_p") if root_only else found
-    scored = found.withColumn("score", analysis(F.lit(True))["score"])
+    scored = analysed(found, F.lit(True)).withColumn("score", F.col("_a.score"))
     order = Window.partitionBy("text", "reading").orderBy(F.desc("score"), "ordinal", "kind")
     return scored.select("text", "reading", "seq", "kana", "kind", "score", F.row_number().over(order).alias("place"))
 

@@ -62,8 +62,8 @@ def test_lookups(spark, lexicon):
 
 
 def test_score(features):
-    scored = features.withColumn("score", segment.score(F.lit(False)))
-    assert scored.where("text = '世界'").first()["score"] == 325
+    scored = segment.analysed(features, F.lit(False))
+    assert scored.where("text = '世界'").first()["_a"]["score"] == 325
 
 
 def test_sticky_positions(spark):
