@@ -17,7 +17,8 @@ predecessor.  As a token is also the context of its successor, c(h) is c of the
 token itself.  Only alpha(h), wanted where a held-out document has an unseen
 bigram, needs sums by context, which go to the part of the context in a second,
 smaller shuffle.  Frequent words (at least 1 / (4 parts) of the tokens, so at most 4
-times as many as parts) are counted beforehand and spread over all parts.
+times as many as parts, and the MOST_HOT most frequent of these) are counted beforehand and
+spread over all parts.
 
 Rows travel as packed columns, one for each group of documents and part.
 """
@@ -40,8 +41,10 @@ GROUP_BYTES = 4 << 20
 GROUP_DOCS = 1 << 15
 #: Counts up to this are discounted by Good-Turing.
 DISCOUNTED = 5
-#: Tokens in a part.
-PART_TOKENS = 1_200_000
+#: Bytes of text in a part: about 1.2 million tokens.
+PART_BYTES = 7_500_000
+#: Words that are spread over all parts, at most.
+MOST_HOT = 200_000
 START, END = np.uint64(0x5354415254), np.uint64(0x454E44)
 _TRAIN = np.uint16(1 << 15)
 _CONTEXT = np.uint64(16)  # contexts are known by the upper 48 bits of their hash
@@ -80,6 +83,14 @@ def _from_six(planes: np.ndarray) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
+def _runs(owner: np.ndarray, order: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(owner, positions) for each owner that there is; ``order`` sorts them."""
+    held = owner[order]
+    edges = np.flatnonzero(np.concatenate((np.ones(min(len(held), 1), bool), held[1:] != held[:-1], [True]))) if len(held) else [0]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        yield int(held[a]), order[a:b]
+
+
 # --- tokens ------------------------------------------------------------------
 
 
@@ -177,12 +188,8 @@ def _send_batches(batches, hot: np.ndarray, parts: int):
         order = np.argsort(part, kind="stable")
         taught = np.array(train, bool)
         doc = doc | np.where(taught[doc], _TRAIN, np.uint16(0))
-        cuts = np.searchsorted(part[order], np.arange(parts + 1))
         out: dict[str, list] = {"part": [], "group": [], "kind": [], "data": []}
-        for p in range(parts):
-            own = order[cuts[p] : cuts[p + 1]]
-            if not len(own):
-                continue
+        for p, own in _runs(part, order):
             a = at[own]
             edge = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
             runs = np.diff(np.append(edge, len(a))).astype(np.uint32)
@@ -212,12 +219,8 @@ def _out(rows: list[tuple]):
     return pa.Table.from_pydict({k: pa.array(list(c), t) for (k, t), c in zip(kinds, columns, strict=True)}, schema=pa.schema(kinds))
 
 
-def _split(owner: np.ndarray, owners: int) -> Iterator[tuple[int, np.ndarray]]:
-    order = np.argsort(owner, kind="stable")
-    cuts = np.searchsorted(owner[order], np.arange(owners + 1))
-    for k in range(owners):
-        if cuts[k] < cuts[k + 1]:
-            yield k, order[cuts[k] : cuts[k + 1]]
+def _split(owner: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    yield from _runs(owner, np.argsort(owner, kind="stable"))
 
 
 def _count_part(table, hot: np.ndarray, hot_counts: np.ndarray, parts: int):
@@ -271,7 +274,7 @@ def _count_part(table, hot: np.ndarray, hot_counts: np.ndarray, parts: int):
     sums = [total(times * np.log10(c + 0.1)), total(times * lm)]
     numbers = [total(times * known), total(times * (~seen & known)), total(times * ~known)]
     numbers += [total(times * (r == k)) for k in range(1, DISCOUNTED + 1)]
-    for k, own in _split(slot >> 16, len(groups)):
+    for k, own in _split(slot >> 16):
         rows.append(("sums", 0, groups[k], _pack((slot[own] & 0xFFFF).astype(np.uint16), *[s[own] for s in sums], *[x[own].astype(np.uint32) for x in numbers])))
     # The counts themselves, by context: what backoff weights are made of.
     kept = np.flatnonzero(of_bigram)
@@ -280,19 +283,19 @@ def _count_part(table, hot: np.ndarray, hot_counts: np.ndarray, parts: int):
     r = of_bigram[kept]
     types = [gather(np.minimum(r, DISCOUNTED + 1) == k).astype(np.uint32) for k in range(1, DISCOUNTED + 2)]
     columns = [*types, gather(r), gather(of_word[word[first[kept]]])]
-    for k, own in _split((h % np.uint64(parts)).astype(np.int64), parts):
+    for k, own in _split((h % np.uint64(parts)).astype(np.int64)):
         rows.append(("contexts", k, 0, _pack(_to_six(h[own]), *[x[own] for x in columns])))
     # Unseen bigrams: frequent contexts wait for their weight in the group, others go to the context.
     unseen = np.flatnonzero(~seen)
     hot_contexts = np.unique(hot >> _CONTEXT)
     where = np.minimum(np.searchsorted(hot_contexts, context[unseen]), len(hot_contexts) - 1)
     here = hot_contexts[where] == context[unseen]
-    for k, own in _split(owner[unseen[here]], len(groups)):
+    for k, own in _split(owner[unseen[here]]):
         x = unseen[here][own]
         rows.append(("waiting", 0, groups[k], _pack(_to_six(context[x]), doc[x].astype(np.uint16), times[x].astype(np.uint32))))
     rest = unseen[~here]
     group_ids = np.array(groups, np.int64)
-    for k, own in _split((context[rest] % np.uint64(parts)).astype(np.int64), parts):
+    for k, own in _split((context[rest] % np.uint64(parts)).astype(np.int64)):
         x = rest[own]
         rows.append(("unseen", k, 0, _pack(_to_six(context[x]), group_ids[owner[x]], doc[x].astype(np.uint16), times[x].astype(np.uint32))))
     return _out(rows)
@@ -341,7 +344,7 @@ def _weigh_part(table, hot: np.ndarray, model: dict):
         group, doc, times = (np.concatenate([u[k] for u in unseen])[found] for k in (1, 2, 3))
         value = times * weight[at[found]]
         groups, place = np.unique(group, return_inverse=True)
-        for k, mine in _split(place, len(groups)):
+        for k, mine in _split(place):
             docs, into = np.unique(doc[mine], return_inverse=True)
             rows.append(("adds", 0, int(groups[k]), _pack(docs.astype(np.uint16), np.bincount(into, value[mine], len(docs)))))
     return _out(rows)
@@ -399,20 +402,20 @@ def score(df: DataFrame, train, id_col: str = "doc_id", text_col: str = "text")
     spark = df.sparkSession
     small_batches(spark)
     rows = df.select(order_id(id_col).alias("_id"), F.coalesce(train, F.lit(False)).alias("_train"), text_of(text_col).alias("_text"))
-    conf_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = rows.agg(F.sum(F.octet_length("_text") + 1)).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
     counted = materialise(
-        rows.mapInArrow(lambda b: _frequent_batches(b, 1 / (4 * conf_parts)), "word long, n long").groupBy("word", F.col("n") < 0).agg(F.sum("n").alias("n")).select("word", "n"),
+        rows.mapInArrow(lambda b: _frequent_batches(b, 1 / (4 * parts)), "word long, n long").groupBy("word", F.col("n") < 0).agg(F.sum("n").alias("n")).select("word", "n"),
         "frequent-words",
     )
     ends = {r["n"] < 0: r["n"] for r in counted.where("word IS NULL").collect()}
     n_docs = -ends.get(True, 0)
     n_tokens = ends.get(False, 0) + n_docs
-    parts = max(conf_parts, -(-n_tokens // PART_TOKENS))
-    found = counted.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(4 * parts).toArrow()
+    found = counted.where("word IS NOT NULL").orderBy(F.desc("n"), "word").limit(min(4 * parts, MOST_HOT)).toArrow()
     hot = np.unique(np.concatenate((found.column("word").to_numpy().view(np.uint64), [START, END])))
     hot_counts = np.zeros(len(hot), np.int64)
     for at, n in rows.mapInArrow(lambda b: _count_batches(b, hot), "at long, n long").groupBy("at").agg(F.sum("n")).collect():
-        hot_counts[at] = n  # at most 4 * parts + 2 rows
+        hot_counts[at] = n  # at most MOST_HOT + 2 rows
     hot_counts[hot == END] = n_docs
     shared = spark.sparkContext.broadcast((hot, hot_counts))
     sent = rows.mapInArrow(lambda b: _send_batches(b, shared.value[0], parts), "part int, group long, kind string, data binary")
