@@ -25,8 +25,8 @@ from .common import order_id
 #: Slots of a frame, at least 16 for each source.
 FRAME = 1 << 14
 BLOCK_ROWS = 16
-#: Parts of a source in which its rows are numbered.
-PARTS = 4096
+#: Rows in a part of a source, about: each part is numbered by itself.
+PART_ROWS = 20_000
 
 
 def capped_shares(counts: dict[str, int], largest: float) -> dict[str, Fraction]:
@@ -116,7 +116,8 @@ def mix(
     Rows of a source are taken in the order of a hash of the id.  Null is a source
     of its own, named "" in ``weights`` like the empty name; repeated rows count like others; a null id is ordered
     like the largest; an empty table gives an empty result.  One number for each
-    source goes to the driver.
+    source goes to the driver, which makes the schedule of one frame: this is for up to
+    some ten thousand sources.
     """
     spark = df.sparkSession
     source = F.coalesce(F.col(source_col).cast("string"), F.lit(""))
@@ -133,7 +134,8 @@ def mix(
     end = (min if weights else max)(ends, default=0)
 
     by_hash = F.xxhash64(order_id(id_col))
-    part = F.pmod(by_hash, F.lit(PARTS))
+    parts = max(64, -(-max(counts.values(), default=0) // PART_ROWS))
+    part = F.shiftrightunsigned(by_hash, 1) % F.lit(parts)
     numbered = df.select(F.struct("*").alias("row"), order_id(id_col).alias("_id"), source.alias("_source"), by_hash.alias("_hash"), part.alias("_part"))
     sizes = numbered.groupBy("_source", "_part").agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.partitionBy("_source").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,6 +7,7 @@ import random
 import re
 import struct
 import zlib
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,6 +89,26 @@ def test_schedule(weights):
         assert all(abs(had[s] - q * t / frame) < 1 for s, q in slots.items())
 
 
+def test_mix_of_odd_rows(spark, documents):
+    """Every row, also with a null source or id and under clashing names, has the place that the schedule gives it."""
+    odd = documents.withColumnsRenamed({"kept": "row", "component": "block", "start": "slot", "_id": "place"}).withColumn("in_mix", F.lit("x")).withColumn("release", F.lit(1))
+    got = mixing.mix(odd, block_rows=3).collect()
+    assert len(got) == odd.count() and all(r.in_mix for r in got)
+    by_source = collections.defaultdict(list)
+    for r in got:
+        by_source[r.row.source or ""].append(r)
+    count = {s: -(-len(x) // 3) for s, x in by_source.items()}
+    slots = mixing.whole_slots({s: Fraction(n, sum(count.values())) for s, n in count.items()})
+    plan = {(s, k): (slot, release, deadline) for s, k, slot, release, deadline in mixing.schedule(slots)}
+    for s, found in by_source.items():
+        found.sort(key=lambda r: (r.block, r.place))
+        assert [(r.block, r.place) for r in found] == [(i // 3, i % 3) for i in range(len(found))]
+        assert all((r.slot, r.release, r.deadline) == plan[s, r.block] for r in found)
+    assert any(r.row.doc_id is None for r in got) and "" in by_source
+    mixed = mixing.mixed(odd, block_rows=3)
+    assert mixed.columns == odd.columns and mixed.count() == odd.count()
+
+
 def test_shares():
     shares = mixing.capped_shares({"big": 700, "mid": 200, "small": 100}, 0.5)
     assert float(shares["big"]) == 0.5 and math.isclose(shares["mid"], 1 / 3) and sum(shares.values()) == 1
