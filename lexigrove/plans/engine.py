@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions import counting, numerals, romaji
 from ..functions import text as tx
-from ..operators import compounds, conjugation, kanji, segment, senses, words
+from ..operators import analyses, compounds, conjugation, kanji, segment, senses, splits, words
 from ..operators.documents import render
 from ..operators.lookups import DESU, Lookups
+from ..sources import places
 from ..sources.tables import settled
 from . import small_lexicon
 
@@ -340,3 +341,95 @@ def match_readings(spark: SparkSession, d: str) -> DataFrame:
 def render_romanize(spark: SparkSession, d: str) -> DataFrame:
     lex, features, _ = _engine(spark)
     return render(segment.tokens(spark.createDataFrame(_LINES[:2], "id int, text string"), features), lex, "id")
+
+
+# --- analyses, splits, places ------------------------------------------------
+
+_CHAINS = [("食べた", "2:食べる"), ("読んで", "3:読む"), ("食べられた", "5:食べる 2:食べられる"), ("食べない", "1:食べる")]
+
+
+@known("flatten_conj", _CHAINS, "text string, steps string")
+def flatten_conj(spark: SparkSession, d: str) -> DataFrame:
+    lex = small_lexicon.lexicon(spark)
+    keys = lex.kanji_text.join(spark.createDataFrame([(a,) for a, _ in _CHAINS], "text string"), "text").select("seq", "text")
+    step = F.struct("step", F.concat_ws(":", "conj_type", "source_text").alias("s"))
+    listed = analyses.chains(lex, keys).groupBy("text").agg(F.sort_array(F.collect_list(step)).alias("_s"))
+    return listed.select("text", F.array_join(F.transform("_s", lambda x: x["s"]), " ").alias("steps"))
+
+
+@known("get_original_text", [("食べられた", "食べる", 13), ("よんで", "よむ", 7)], "text string, source_text string, source int")
+def get_original_text(spark: SparkSession, d: str) -> DataFrame:
+    lex = small_lexicon.lexicon(spark)
+    texts = lex.kanji_text.select("seq", "text").unionByName(lex.kana_text.select("seq", "text"))
+    keys = texts.join(spark.createDataFrame([("食べられた",), ("よんで",)], "text string"), "text")
+    return analyses.original_texts(lex, keys.select("seq", "text")).select("text", "source_text", "source")
+
+
+lookup(
+    "select_conjs", [(10_000_017, None), (10_000_018, None)], "seq int, text string",
+    'SELECT c.seq, c.id AS conj_id, p.conj_type FROM conjugation c JOIN conj_prop p ON p.conj_id = c.id WHERE c.seq IN (SELECT seq FROM keys) AND (c.via IS NULL OR NOT EXISTS (SELECT 1 FROM conjugation o WHERE o.seq = c.seq AND o.via IS NULL))',
+    "seq conj_id conj_type",
+)(lambda k, x: analyses.selected(k.lex, x))
+function("is_rareru", [("食べられる", True), ("食べられません", True), ("食べれる", False)], "a string, out boolean")(analyses.is_rareru)
+function("conj_type_order", [(10, 13), (13, 10), (2, 2)], "a int, out int")(analyses.type_order)
+function("simplify_reading_list", [("よんで くれる|よんでくれる", "よんで·くれる"), ("ほん を|ほん を", "ほん を"), ("あ|い", "あ|い")], _S)(lambda a: F.array_join(analyses.simplify_reading_list(F.split(a, "\\|")), "|"))
+function("optprefix", [("ほん", "おほん"), ("おちゃ", "おちゃ")], _S)(lambda a: splits.optional_prefix(a, F.lit("お")))
+
+
+@known("best_kana_conj", [("食べられた", "たべられた"), ("読んで", "よんで"), ("世界", "せかい"), ("高", "たか")], "text string, best string")
+def best_kana_conj(spark: SparkSession, d: str) -> DataFrame:
+    lex = small_lexicon.lexicon(spark)
+    wanted = spark.createDataFrame([("食べられた",), ("読んで",), ("世界",), ("高",)], "text string")
+    return lex.kanji_text.join(wanted, "text").select("id", "text").join(analyses.best_readings(lex), "id").select("text", "best")
+
+
+@known("match_kana_kanji", [(8, "わたし", "私"), (8, "わたくし", "私"), (1, "せかい", "世界")], "seq int, reading string, kanji string")
+def match_kana_kanji(spark: SparkSession, d: str) -> DataFrame:
+    keys = spark.createDataFrame([(8, "わたし", "私"), (8, "わたくし", "私"), (8, "わたくし", "他"), (1, "せかい", "世界")], "seq int, reading string, kanji string")
+    return analyses.kana_kanji_allowed(small_lexicon.lexicon(spark), keys).select("seq", "reading", "kanji")
+
+
+@known("process_word_info", [(1, 0, "なん"), (1, 1, "ばん"), (2, 0, "なに"), (2, 1, "か"), (3, 0, "なに")], "id int, token_no int, kana string")
+def process_word_info(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, 0, 0, "何", "なに"), (1, 0, 1, "番", "ばん"), (2, 0, 0, "何", "なん"), (2, 0, 1, "か", "か"), (3, 0, 0, "何", "なに")]
+    tokens = spark.createDataFrame(rows, "id int, run_no int, token_no int, token string, kana string")
+    return analyses.reading_of_what(tokens, "id").select("id", "token_no", "kana")
+
+
+@known("run_split", [(100, "日本語の本", -5, "2:日本 4:語 1469800:の 12:本")], "seq int, text string, score int, parts string")
+def run_split(spark: SparkSession, d: str) -> DataFrame:
+    rules = [(100, -5, 0, [2], "2", "entry", None), (100, -5, 1, [4], "1", "entry", None), (100, -5, 2, [1469800], "1", "entry", None), (100, -5, 3, [12], None, "entry", None), (101, 3, 0, [7], None, "derived", None)]
+    given = spark.createDataFrame([(100, "日本語の本", []), (101, "無い", [])], "seq int, text string, conj_of array<int>")
+    made = splits.split_words(given, spark.createDataFrame(rules, splits.SPLITS), small_lexicon.lexicon(spark))
+    return made.select("seq", "text", "score", F.array_join(F.transform("parts", lambda p: F.concat_ws(":", p["seq"], p["text"])), " ").alias("parts"))
+
+
+@known("run_easy_hint", [("私は本", "わたし wa ほん")], "text string, shown string")
+def run_easy_hint(spark: SparkSession, d: str) -> DataFrame:
+    block = "array<struct<text:string,reading:string,type:string>>"
+    words_ = spark.createDataFrame([(5, "私は本", "わたしはほん", [("私", "わたし", "ja_kun"), ("は", "は", "kana"), ("本", "ほん", "ja_on")])], f"seq int, text string, kana string, blocks {block}")
+    found = splits.with_hints(words_, spark.createDataFrame([(5, "私 は 本")], "seq int, form string"))
+    shown = F.replace(F.replace(F.col("kana"), F.lit(romaji.BREAK), F.lit(" ")), F.lit(romaji.PARTICLE + "は"), F.lit("wa"))
+    return found.select("text", shown.alias("shown"))
+
+
+_PLACES = [("東京都", "とうきょうと", "Tokyo Metropolis"), ("東京", "とうきょう", "Tokyo Metropolis"), ("北海道", "ほっかいどう", "Hokkaido"), ("横浜市", "よこはまし", "Yokohama (city), Kanagawa Prefecture"), ("横浜", "よこはま", "Yokohama (city), Kanagawa Prefecture")]
+
+
+@known("municipalities", _PLACES, "text string, reading string, definition string")
+def municipalities(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "東京都", None, "ﾄｳｷｮｳﾄ", None), (2, "北海道", None, "ﾎｯｶｲﾄﾞｳ", None), (3, "神奈川県", "横浜市", "ｶﾅｶﾞﾜｹﾝ", "ﾖｺﾊﾏｼ")]
+    return places.municipalities(spark.createDataFrame(rows, "id int, pref string, muni string, pref_reading string, muni_reading string"))
+
+
+@known("wards", [("中区", "なかく", "Naka Ward, Yokohama"), ("西区", "にしく", "Nishi Ward, Yokohama")], "text string, reading string, definition string")
+def wards(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(1, "横浜市", "よこはまし"), (2, "横浜市中区", "よこはましなかく"), (3, "横浜市西区", "よこはましにしく")]
+    return places.wards(spark.createDataFrame(rows, "id int, text string, reading string"))
+
+
+function("normalize_geo", [("Tōkyō", "tokyo"), ("Kyūshū", "kyushu")], _S)(places.normalize_geo)
+function(
+    "as_xml", [("東京", "とうきょう", "Tokyo & more", '<?xml version="1.0" encoding="UTF-8"?>\n<entry><ent_seq></ent_seq><k_ele><keb>東京</keb></k_ele><r_ele><reb>とうきょう</reb></r_ele><sense><pos>n</pos><gloss>Tokyo &amp; more</gloss></sense></entry>')],
+    "a string, b string, c string, out string",
+)(places.entry_xml)
