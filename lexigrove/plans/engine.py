@@ -433,3 +433,23 @@ function(
     "as_xml", [("東京", "とうきょう", "Tokyo & more", '<?xml version="1.0" encoding="UTF-8"?>\n<entry><ent_seq></ent_seq><k_ele><keb>東京</keb></k_ele><r_ele><reb>とうきょう</reb></r_ele><sense><pos>n</pos><gloss>Tokyo &amp; more</gloss></sense></entry>')],
     "a string, b string, c string, out string",
 )(places.entry_xml)
+
+
+_DERIVED = [("食べられる", 13, None, 5, "食べる"), ("食べた", 13, None, 2, "食べる"), ("食べられた", 13, "食べられる", 2, "食べられる"), ("たべられる", 13, None, 5, "たべる"), ("たべた", 13, None, 2, "たべる"), ("たべられた", 13, "食べられる", 2, "たべられる")]
+
+
+@known("load_secondary_conjugations", _DERIVED, "text string, source int, via string, conj_type int, source_text string")
+def load_secondary_conjugations(spark: SparkSession, d: str) -> DataFrame:
+    """Direct and secondary forms of a verb, written into the tables and read back from them."""
+    lex = small_lexicon.Lexicon.of(spark, small_lexicon.assemble([e for e in small_lexicon.ENTRIES if e["seq"] == 13]))
+    lex = small_lexicon.Lexicon(lex.tables | {n: lex.tables[n].withColumn("conjugate_p", F.lit(True)) for n in ("kanji_text", "kana_text")})
+    rules = spark.createDataFrame(
+        [(28, 2, False, False, 1, 1, "た", "", ""), (28, 5, False, False, 1, 1, "られる", "", "")],
+        "pos int, conj int, neg boolean, fml boolean, onum int, stem int, okuri string, euphr string, euphk string",
+    )
+    made = conjugation.with_conjugations(lex, rules, spark.createDataFrame([(28, "v1")], "pos int, kw string"))
+    links = made.conjugation.select(F.col("id").alias("conj_id"), "seq", "from", "via").join(made.conj_prop.select("conj_id", "conj_type"), "conj_id")
+    via = made.kanji_text.where("ord = 0").select(F.col("seq").alias("via"), F.col("text").alias("via_text"))
+    forms = made.kanji_text.select("seq", "text").unionByName(made.kana_text.select("seq", "text"))
+    found = links.join(made.conj_source_reading.select("conj_id", "text", "source_text"), "conj_id").join(forms, ["seq", "text"]).join(via, "via", "left")
+    return found.select("text", F.col("from").alias("source"), F.col("via_text").alias("via"), "conj_type", "source_text")
