@@ -164,64 +164,32 @@ def join_parts(parts: Column) -> Column:
 # --- from romaji -------------------------------------------------------------
 
 
+# Kana by consonant, in the order a i u e o (・: none), and what has no row.
+ROMAJI_ROWS = {
+    "": "あ い う え お", "b": "ば び ぶ べ ぼ", "c": "か し く せ こ", "d": "だ ぢ づ で ど", "f": "ふぁ ふぃ ふ ふぇ ふぉ", "g": "が ぎ ぐ げ ご", "h": "は ひ ふ へ ほ",
+    "j": "じゃ じ じゅ じぇ じょ", "k": "か き く け こ", "l": "ら り る れ ろ", "m": "ま み む め も", "n": "な に ぬ ね の", "p": "ぱ ぴ ぷ ぺ ぽ", "q": "くぁ くぃ く くぇ くぉ",
+    "r": "ら り る れ ろ", "s": "さ し す せ そ", "t": "た ち つ て と", "v": "ゔぁ ゔぃ ゔ ゔぇ ゔぉ", "w": "わ うぃ う うぇ を", "x": "ぁ ぃ ぅ ぇ ぉ", "y": "や ・ ゆ いぇ よ",
+    "z": "ざ じ ず ぜ ぞ", "by": "びゃ びぃ びゅ びぇ びょ", "ch": "ちゃ ち ちゅ ちぇ ちょ", "cy": "ちゃ ちぃ ちゅ ちぇ ちょ", "dh": "でゃ でぃ でゅ でぇ でょ", "dw": "どぁ どぃ どぅ どぇ どぉ",
+    "dy": "ぢゃ ぢぃ ぢゅ ぢぇ ぢょ", "fy": "ふゃ ・ ふゅ ・ ふょ", "gw": "ぐぁ ぐぃ ぐぅ ぐぇ ぐぉ", "gy": "ぎゃ ぎぃ ぎゅ ぎぇ ぎょ", "hw": "ふぁ ふぃ ・ ふぇ ふぉ", "hy": "ひゃ ひぃ ひゅ ひぇ ひょ",
+    "jy": "じゃ じぃ じゅ じぇ じょ", "kw": "くぁ くぃ くぅ くぇ くぉ", "ky": "きゃ きぃ きゅ きぇ きょ", "ly": "りゃ りぃ りゅ りぇ りょ", "my": "みゃ みぃ みゅ みぇ みょ", "ny": "にゃ にぃ にゅ にぇ にょ",
+    "py": "ぴゃ ぴぃ ぴゅ ぴぇ ぴょ", "ry": "りゃ りぃ りゅ りぇ りょ", "sh": "しゃ し しゅ しぇ しょ", "sy": "しゃ しぃ しゅ しぇ しょ", "th": "てゃ てぃ てゅ てぇ てょ", "ts": "つぁ つぃ つ つぇ つぉ",
+    "tw": "とぁ とぃ とぅ とぇ とぉ", "ty": "ちゃ ちぃ ちゅ ちぇ ちょ", "vy": "ゔゃ ゔぃ ゔゅ ゔぇ ゔょ", "wh": "うぁ うぃ う うぇ うぉ", "xy": "ゃ ぃ ゅ ぇ ょ", "zy": "じゃ じぃ じゅ じぇ じょ",
+}
+ROMAJI_SINGLE = {
+    "-": "ー", "n": "ん", "n'": "ん", "n-": "ん", "xn": "ん", "d'i": "でぃ", "d'u": "どぅ", "t'i": "てぃ", "t'u": "とぅ", "wye": "ゑ", "wyi": "ゐ", "xka": "ヵ",
+    "xke": "ヶ", "xtu": "っ", "xwa": "ゎ", "d'yu": "でゅ", "hwyu": "ふゅ", "t'yu": "てゅ", "xtsu": "っ",
+}
+#: Consonants that are written twice for a small tsu (two l as before an r), and before which an m is ん.
+DOUBLED, DOUBLED_AS, LABIALS = "bcdfghjkpqrstvwxyz", {"l": "r"}, "mbp"
+
+
 @functools.cache
 def romaji_table() -> dict[str, tuple[str, str]]:
-    """romaji -> (kana, letters that stay), built by rule from the rows."""
-    small = dict(zip(VOWELS, "ぁぃぅぇぉ", strict=True))
-    glides = {"a": "ゃ", "i": "ぃ", "u": "ゅ", "e": "ぇ", "o": "ょ"}
-    out: dict[str, tuple[str, str]] = {}
-
-    def add(romaji: str, kana: str, stays: str = "") -> None:
-        out.setdefault(romaji, (kana, stays))
-
-    rows = dict(t.ROWS)
-    for consonant, row in rows.items():
-        for vowel, kana in zip(VOWELS, row, strict=True):
-            add(consonant + vowel, kana)
-    for name, kana in t.SINGLE.items():
-        add(name, kana)
-    for plain, name in t.NAMES.items():
-        if not name.startswith("d"):
-            add(name, out[plain][0])
-    # Consonant + y, and consonants whose base is written with a small vowel.
-    stems = {c: row[1] for c, row in rows.items() if c} | {"l": "り", "v": "ゔ", "c": "ち", "j": "じ"}
-    for consonant, base in stems.items():
-        for vowel in VOWELS:
-            add(f"{consonant}y{vowel}", base + glides[vowel])
-    for romaji, base, vowels in (
-        ("sh", "し", "aueo"), ("ch", "ち", "aueo"), ("j", "じ", "aueo"),
-    ):
-        for vowel in vowels:
-            add(romaji + vowel, base + glides[vowel])
-    for romaji, base, vowels in (
-        ("f", "ふ", "aieo"), ("v", "ゔ", "aieo"), ("q", "く", "aieo"), ("ts", "つ", "aieo"), ("hw", "ふ", "aieo"), ("wh", "う", "aieo"),
-        ("kw", "く", VOWELS), ("gw", "ぐ", VOWELS), ("dw", "ど", VOWELS), ("tw", "と", VOWELS), ("w", "う", "ie"), ("y", "い", "e"),
-    ):
-        for vowel in vowels:
-            out[romaji + vowel] = (base + small[vowel], "")
-    for romaji, base in (("th", "て"), ("dh", "で")):
-        for vowel in VOWELS:
-            add(romaji + vowel, base + glides[vowel])
-    for vowel in "auo":
-        add(f"fy{vowel}", "ふ" + glides[vowel])
-    for vowel in VOWELS:
-        add(f"l{vowel}", out[f"r{vowel}"][0])
-        add(f"x{vowel}", small[vowel])
-        add(f"xy{vowel}", glides[vowel])
-    for romaji, kana in zip("ca ci cu ce co".split(), "かしくせこ", strict=True):
-        add(romaji, kana)
-    for romaji, kana in (
-        ("n'", "ん"), ("n-", "ん"), ("xn", "ん"), ("wi", "うぃ"), ("we", "うぇ"), ("wu", "う"), ("whu", "う"), ("wyi", "ゐ"), ("wye", "ゑ"), ("qu", "く"),
-        ("d'i", "でぃ"), ("d'u", "どぅ"), ("d'yu", "でゅ"), ("t'i", "てぃ"), ("t'u", "とぅ"), ("t'yu", "てゅ"), ("hwyu", "ふゅ"),
-        ("xka", "ヵ"), ("xke", "ヶ"), ("xtsu", "っ"), ("xtu", "っ"), ("xwa", "ゎ"), ("-", "ー"),
-    ):
-        out[romaji] = (kana, "")
-    for consonant in "bcdfghjkpqrstvwxyz":
-        add(consonant * 2, "っ", consonant)
-    add("ll", "っ", "r")
-    for consonant in "mbp":
-        add("m" + consonant, "ん", consonant)
-    return out
+    """romaji -> (kana, letters that stay)."""
+    out = {c + v: (kana, "") for c, row in ROMAJI_ROWS.items() for v, kana in zip(VOWELS, row.split(), strict=True) if kana != "・"}
+    out |= {romaji: (kana, "") for romaji, kana in ROMAJI_SINGLE.items()}
+    out |= {c * 2: ("っ", c) for c in DOUBLED} | {c * 2: ("っ", stays) for c, stays in DOUBLED_AS.items()}
+    return out | {"m" + c: ("ん", c) for c in LABIALS}
 
 
 def readings(romaji: str) -> tuple[str, str] | None:

@@ -28,9 +28,10 @@ CLASSES: dict[str, str] = {name: kana + katakana(kana) for name, kana in (MORAE
     SOKUON: "っッ", LONG: "ー", REPEAT: "ゝヽ", REPEAT_VOICED: "ゞヾ",
 }
 CLASS_OF: dict[str, str] = {c: name for name, chars in CLASSES.items() for c in chars}
+# Fixed values.
 MODIFIERS = (*SMALL, LONG)
 
-#: Voiced counterpart of each mora, by rows; and of u.
+# Voiced counterpart of each mora, by rows; and of u.
 VOICED = {a: b for x, y in ("kg", "sz", "td", "hb") for a, b in zip(ROWS[x], ROWS[y], strict=True)} | {"う": "ゔ"}
 HALF_VOICED = dict(zip(ROWS["h"], ROWS["p"], strict=True))
 UNVOICED = {b: a for a, b in VOICED.items()} | {b: a for a, b in HALF_VOICED.items()}
