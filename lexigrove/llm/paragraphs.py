@@ -37,53 +37,83 @@ BANDS, ROWS = 14, 5
 PERCENT = 80
 #: Bits of the filters on paragraph hashes (8 MB).
 NODE_BITS = 26
-GROUP_BYTES = 2 << 20
+#: Bytes of text that are worked on together; a longer text is by itself.
+GROUP_BYTES = 1 << 20
+#: Rows of an Arrow batch.
+OUT_ROWS = 50_000
 #: Hashes that are made at once.
 MATRIX = 1 << 16
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, _PRIME))), dtype=np.uint64)
-        down = np.cumprod(np.concatenate(([np.uint64(1)], np.full(n, np.uint64(pow(int(_PRIME), -1, 1 << 64))))), dtype=np.uint64)
-    return up, down
-
+_table: list[np.ndarray] = []
 
-def digests(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """Hashes of the word runs [start, stop)."""
-    from .kernels import mix
-
-    up, down = _powers(len(words))
-    with np.errstate(over="ignore"):
-        total = np.concatenate(([np.uint64(0)], np.cumsum(words * up[: len(words)], dtype=np.uint64)))
-        return mix((total[stop] - total[start]) * down[start] ^ (stop - start).astype(np.uint64))
 
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n of the prime and of its inverse; kept, and made anew only when more are asked for."""
+    if not _table or len(_table[0]) <= n:
+        size = max(n, 1 << 18)
+        with np.errstate(over="ignore"):
+            steps = np.full(size, _PRIME), np.full(size, np.uint64(pow(int(_PRIME), -1, 1 << 64)))
+            _table[:] = [np.cumprod(np.concatenate(([np.uint64(1)], x)), dtype=np.uint64) for x in steps]
+    return _table[0], _table[1]
 
-def line_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and last + 1 word of each line of at least MIN_WORDS words."""
-    from .kernels import _SPACE
 
-    space = _SPACE[data]
-    starts = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
-    before = np.searchsorted(starts, np.flatnonzero(data == 10))
-    edges = np.concatenate(([0], before, [len(starts)]))
-    long = np.diff(edges) >= MIN_WORDS
-    return edges[:-1][long], edges[1:][long]
+class Group:
+    """Words of some texts in a row, text by text.
 
+    ids and first (the number of the first word, one more than texts) by text; words: their
+    hashes; line_start and line_stop: words of the lines of MIN_WORDS words or more.
+    """
 
-def anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the anchors, in order, and their hashes."""
-    n = len(words) - ANCHOR + 1
-    if n < REACH:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    start = np.arange(n)
-    value = digests(words, start, start + ANCHOR)
-    least = _slide(value, np.minimum)
-    edge = np.zeros(REACH - 1, np.uint64)
-    at = np.flatnonzero(_slide(np.concatenate((edge, least, edge)), np.maximum) == value)
-    return at, value[at]
+    def __init__(self, ids: list[int], texts: list[np.ndarray]) -> None:
+        from .kernels import _SPACE, word_hashes
+
+        newline = np.array([10], np.uint8)
+        data = np.concatenate([x for t in texts for x in (t, newline)])
+        space = _SPACE[data]
+        begins = np.flatnonzero(~space & np.concatenate(([True], space[:-1])))
+        ends = np.cumsum([len(t) + 1 for t in texts])
+        self.ids = np.array(ids, np.int64)
+        self.first = np.concatenate(([0], np.searchsorted(begins, ends)))
+        self.words = word_hashes(data)
+        edges = np.concatenate(([0], np.searchsorted(begins, np.flatnonzero(data == 10))))
+        long = np.diff(edges) >= MIN_WORDS
+        self.line_start, self.line_stop = edges[:-1][long], edges[1:][long]
+        self.up, self.down = _powers(len(self.words))
+        with np.errstate(over="ignore"):
+            self.total = np.concatenate(([np.uint64(0)], np.cumsum(self.words * self.up[: len(self.words)], dtype=np.uint64)))
+
+    def text_of(self, word: np.ndarray) -> np.ndarray:
+        """The number of the text that a word is in."""
+        return np.searchsorted(self.first, word, side="right") - 1
+
+    def digests(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Hashes of the word runs [start, stop)."""
+        from .kernels import mix
+
+        with np.errstate(over="ignore"):
+            return mix((self.total[stop] - self.total[start]) * self.down[start] ^ (stop - start).astype(np.uint64))
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First words of the anchors, in order, their hashes, and their texts.
+
+        The smallest of each REACH successive runs of one text are anchors.
+        """
+        n = len(self.words) - ANCHOR + 1
+        if n < REACH:
+            return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        start = np.arange(n)
+        value = self.digests(start, start + ANCHOR)
+        least = _slide(value, np.minimum)
+        # Windows of REACH runs that one text holds whole.
+        left = np.repeat(self.first[1:], np.diff(self.first))[: len(least)] - start[: len(least)]
+        least[left < ANCHOR + REACH - 1] = 0
+        edge = np.zeros(REACH - 1, np.uint64)
+        top = _slide(np.concatenate((edge, least, edge)), np.maximum)
+        at = np.flatnonzero((top == value) & (top > 0))
+        return at, value[at], self.text_of(at)
 
 
 def _slide(x: np.ndarray, of) -> np.ndarray:
@@ -96,48 +126,54 @@ def _slide(x: np.ndarray, of) -> np.ndarray:
     return of(x[:-rest], x[rest:]) if rest else x
 
 
-def window_starts(n: int, at: np.ndarray, shared: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Where windows begin in a text of n words: at shared anchors and, for those that may be
-    the first or last of a passage, wherever the passage may begin or its last window may."""
+def window_starts(first: np.ndarray, stop: np.ndarray, at: np.ndarray, shared: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Where windows begin: at shared anchors and, for those that may be the first or last of a
+    passage, wherever the passage may begin or its last window may.  first and stop: of the
+    anchors' texts."""
     near = at[ends][:, None] + np.arange(1 - REACH, MIN_WORDS)
-    near = near[near <= (at[ends] + ANCHOR + REACH - 1 - MIN_WORDS)[:, None]]
-    start = np.unique(np.concatenate((at[shared], near)))
-    return start[(start >= 0) & (start <= n - MIN_WORDS)]
+    low, high = first[ends][:, None], np.minimum(at[ends] + ANCHOR + REACH - 1, stop[ends])[:, None] - MIN_WORDS
+    inside = at[shared]
+    inside = inside[inside <= stop[shared] - MIN_WORDS]
+    return np.unique(np.concatenate((inside, near[(near >= low) & (near <= high)])))
 
 
-def _documents(batches):
-    from .kernels import utf8_views, word_hashes
+def _groups(batches):
+    from .kernels import utf8_views
 
+    ids, texts, held = [], [], 0
     for batch in batches:
-        ids = batch.column("_id").to_pylist()
-        for key, data in zip(ids, utf8_views(batch.column("_text")), strict=True):
-            yield key, data, word_hashes(data)
+        for key, data in zip(batch.column("_id").to_pylist(), utf8_views(batch.column("_text")), strict=True):
+            if texts and held + len(data) > GROUP_BYTES:
+                yield Group(ids, texts)
+                ids, texts, held = [], [], 0
+            ids.append(key)
+            texts.append(data)
+            held += len(data)
+    if texts:
+        yield Group(ids, texts)
+
+
+def _rows_of(columns: dict[str, np.ndarray]):
+    """Arrow batches of equal columns, OUT_ROWS rows each."""
+    import pyarrow as pa
+
+    n = len(next(iter(columns.values())))
+    for lo in range(0, n, OUT_ROWS):
+        part = {k: x[lo : lo + OUT_ROWS] for k, x in columns.items()}
+        yield pa.RecordBatch.from_pydict({k: pa.array(x.view(np.int64) if x.dtype == np.uint64 else x) for k, x in part.items()})
 
 
 @tidy
 def _anchor_batches(batches):
     """(node, id, before, after) of all anchors: hashes of the words from the anchor before and to the next one."""
-    import pyarrow as pa
-
-    out, held = [], 0
-
-    def flush():
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["node", "id", "before", "after"])
-
-    for key, _, words in _documents(batches):
-        at, node = anchors(words)
+    for group in _groups(batches):
+        at, node, text = group.anchors()
         if not len(at):
             continue
-        between, edge = digests(words, at[:-1], at[1:] + ANCHOR), np.zeros(1, np.uint64)
-        out.append((node, np.full(len(at), key, np.int64), np.concatenate((edge, between)), np.concatenate((between, edge))))
-        held += len(at)
-        if held > 50_000:
-            yield flush()
-            held = 0
-    if out:
-        yield flush()
+        between = group.digests(at[:-1], at[1:] + ANCHOR)
+        between[text[1:] != text[:-1]] = 0  # of two texts
+        edge = np.zeros(1, np.uint64)
+        yield from _rows_of({"node": node, "id": group.ids[text], "before": np.concatenate((edge, between)), "after": np.concatenate((between, edge))})
 
 
 def _maybe(wanted, node: np.ndarray) -> np.ndarray:
@@ -148,56 +184,42 @@ def _maybe(wanted, node: np.ndarray) -> np.ndarray:
 @tidy
 def _unit_batches(batches, repeated, varied):
     """(node, id, start, stop) of all lines and of the windows around repeated anchors."""
-    import pyarrow as pa
-
-    out, held = [], 0
-
-    def flush():
-        ids, nodes, starts, stops = (np.concatenate(x) for x in zip(*out, strict=True))
-        out.clear()
-        return pa.RecordBatch.from_pydict(
-            {"node": nodes.view(np.int64), "id": ids, "start": starts.astype(np.int32), "stop": stops.astype(np.int32)}
-        )
-
-    for key, data, words in _documents(batches):
-        start, stop = line_bounds(data)
-        at, node = anchors(words)
+    for group in _groups(batches):
+        start, stop = group.line_start, group.line_stop
+        at, node, text = group.anchors()
         if len(at):
             shared, ends = _maybe(repeated, node), _maybe(varied, node)
-            ends[[0, -1]] = True
-            own = window_starts(len(words), at, shared, shared & ends)
+            ends |= np.concatenate(([True], text[1:] != text[:-1])) | np.concatenate((text[1:] != text[:-1], [True]))  # first and last of a text
+            own = window_starts(group.first[text], group.first[text + 1], at, shared, shared & ends)
             start, stop = np.concatenate((start, own)), np.concatenate((stop, own + MIN_WORDS))
         if len(start):
-            out.append((np.full(len(start), key, np.int64), digests(words, start, stop), start, stop))
-            held += len(start)
-        if held > 50_000:
-            yield flush()
-            held = 0
-    if out:
-        yield flush()
+            of = group.text_of(start)
+            begun = group.first[of]
+            yield from _rows_of({"node": group.digests(start, stop), "id": group.ids[of], "start": (start - begun).astype(np.int32), "stop": (stop - begun).astype(np.int32)})
 
 
 @tidy
 def _band_batches(batches):
     """(token, id) for each band of each distinct line of a group of documents."""
-    import pyarrow as pa
-
     from .kernels import mix, shingle_hashes
 
     numbers = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64) * _PRIME)
     factor, shift = (numbers[::2] >> np.uint64(32)).astype(np.uint32) | np.uint32(1), (numbers[1::2] >> np.uint64(32)).astype(np.uint32)
 
-    def bands(shingles: list, starts: list, stops: list, nodes: list):
-        flat = (np.concatenate(shingles) >> np.uint64(32)).astype(np.uint32)
-        node, first = np.unique(np.concatenate(nodes), return_index=True)
-        start, stop = np.concatenate(starts)[first], np.concatenate(stops)[first]
+    for group in _groups(batches):
+        if not len(group.line_start):
+            continue
+        flat = (shingle_hashes(group.words, SHINGLE) >> np.uint64(32)).astype(np.uint32)
+        node, first = np.unique(group.digests(group.line_start, group.line_stop), return_index=True)
+        start, stop = group.line_start[first], group.line_stop[first] - SHINGLE + 1
         order = np.argsort(stop - start, kind="stable")  # lines of about one length make a matrix
         least = np.empty((BANDS * ROWS, len(node)), np.uint32)
         lo = 0
         while lo < len(order):
             width = int(stop[order[lo]] - start[order[lo]])
-            hi = lo + int(np.searchsorted((stop - start)[order[lo:]], width + max(4, width // 8), side="right"))
-            hi = min(hi, lo + max(1, MATRIX // (width + max(4, width // 8))))
+            wide = width + max(4, width // 8)
+            hi = lo + int(np.searchsorted((stop - start)[order[lo:]], wide, side="right"))
+            hi = min(hi, lo + max(1, MATRIX // wide))
             own = order[lo:hi]
             size = stop[own] - start[own]
             rows = np.minimum(np.arange(int(size.max()))[:, None], size - 1)
@@ -213,24 +235,7 @@ def _band_batches(batches):
                 token = np.full(len(node), b, np.uint64)
                 for k in range(b * ROWS, (b + 1) * ROWS):
                     token = mix(token * _PRIME + least[k])
-            yield pa.RecordBatch.from_pydict({"token": token.view(np.int64), "id": node.view(np.int64)})
-
-    shingles, starts, stops, nodes, held = [], [], [], [], 0
-    for _, data, words in _documents(batches):
-        start, stop = line_bounds(data)
-        if not len(start):
-            continue
-        found = shingle_hashes(words, SHINGLE)
-        shingles.append(found)
-        starts.append(start + held)
-        stops.append(stop - SHINGLE + 1 + held)
-        nodes.append(digests(words, start, stop))
-        held += len(found)
-        if held > GROUP_BYTES // 8:
-            yield from bands(shingles, starts, stops, nodes)
-            shingles, starts, stops, nodes, held = [], [], [], [], 0
-    if shingles:
-        yield from bands(shingles, starts, stops, nodes)
+            yield from _rows_of({"token": token, "id": node})
 
 
 @tidy
@@ -249,14 +254,13 @@ def _set_batches(batches, wanted):
         found.clear()
         return out
 
-    for _, data, words in _documents(batches):
-        start, stop = line_bounds(data)
-        if not len(start):
-            continue
-        node = digests(words, start, stop)
-        at = (node >> np.uint64(64 - NODE_BITS)).astype(np.int64)
-        for i in np.flatnonzero((wanted.value[at >> 6] >> (at & 63)) & 1):
-            found.setdefault(int(node[i].view(np.int64)), shingle_set(words[start[i] : stop[i]], SHINGLE))
+    for group in _groups(batches):
+        start, stop = group.line_start, group.line_stop
+        node = group.digests(start, stop)
+        for i in np.flatnonzero(_maybe(wanted, node)) if len(node) else ():
+            key = int(node[i].view(np.int64))
+            if key not in found:
+                found[key] = shingle_set(group.words[start[i] : stop[i]], SHINGLE)
         if len(found) > 5000:
             yield flush()
     if found:
