@@ -99,3 +99,24 @@ def reading_statistics(aligned: DataFrame) -> DataFrame:
 
 def share(n, total):
     return F.when(total == 0, "--.--%").otherwise(F.format_string("%.2f%%", F.lit(100.0) * n / total))
+
+
+def original_reading(reading, voiced, last):
+    """A reading as it was: the first kana unvoiced where ``voiced``, the last one ``last`` where not null."""
+    from ..functions.text import unrendaku
+
+    plain = F.when(voiced, unrendaku(reading)).otherwise(reading)
+    return F.when(last.isNull(), plain).otherwise(F.concat(F.left(plain, F.char_length(plain) - 1), F.left(last, F.lit(1))))
+
+
+def documents(lexicon, keys: DataFrame) -> DataFrame:
+    """keys: text.  (text, json): a character with its readings (but for names), their okurigana and shares, and its meanings."""
+    kanji = lexicon.kanji.join(keys.select("text").distinct(), "text").select(F.col("id").alias("kanji_id"), "text", "grade", "strokes", "freq", "stat_common", "stat_irregular")
+    okurigana = lexicon.okurigana.select("reading_id", "text").distinct().groupBy("reading_id").agg(F.array_sort(F.collect_list("text")).alias("okurigana"))
+    readings = lexicon.reading.where("type <> 'ja_na'").select("kanji_id", F.col("id").alias("reading_id"), F.col("text").alias("reading"), "type", F.col("stat_common").alias("sample"), "prefixp", "suffixp")
+    joined = readings.join(okurigana, "reading_id", "left").join(kanji.select("kanji_id", "stat_common"), "kanji_id")
+    row = F.struct((-F.col("sample")).alias("_o"), "reading_id", "reading", "type", F.coalesce("okurigana", F.array().cast("array<string>")).alias("okurigana"), "sample", share(F.col("sample"), F.col("stat_common")).alias("perc"), "prefixp", "suffixp")
+    listed = joined.groupBy("kanji_id").agg(F.transform(F.sort_array(F.collect_list(row)), lambda r: r.dropFields("_o", "reading_id")).alias("readings"))
+    meanings = lexicon.meaning.groupBy("kanji_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "text"))), lambda m: m["text"]).alias("meanings"))
+    whole = kanji.join(listed, "kanji_id", "left").join(meanings, "kanji_id", "left")
+    return whole.select("text", F.to_json(F.struct("text", "grade", "strokes", "freq", F.col("stat_common").alias("total"), F.col("stat_irregular").alias("irregular"), "readings", "meanings")).alias("json"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import counting, numerals, romaji
 from ..functions import text as tx
-from ..operators import analyses, compounds, conjugation, kanji, segment, senses, splits, words
+from ..operators import analyses, compounds, conjugation, kanji, patches, segment, senses, splits, words
 from ..operators.documents import render
 from ..operators.lookups import DESU, Lookups
 from ..sources import places
@@ -453,3 +453,81 @@ def load_secondary_conjugations(spark: SparkSession, d: str) -> DataFrame:
     forms = made.kanji_text.select("seq", "text").unionByName(made.kana_text.select("seq", "text"))
     found = links.join(made.conj_source_reading.select("conj_id", "text", "source_text"), "conj_id").join(forms, ["seq", "text"]).join(via, "via", "left")
     return found.select("text", F.col("from").alias("source"), F.col("via_text").alias("via"), "conj_type", "source_text")
+
+
+# --- corrections and characters ----------------------------------------------
+
+
+def correction(name: str, rows: list[tuple], schema: str):
+    """Register a patch and what a table of the patched lexicon must then hold."""
+
+    def add(f: Callable[[SparkSession, small_lexicon.Lexicon], DataFrame]):
+        known(name, rows, schema)(lambda spark, d: f(spark, small_lexicon.lexicon(spark)))
+        return f
+
+    return add
+
+
+@correction("add_sense", [(1, 0, "the world; society"), (1, 1, "universe; era")], "seq int, ord int, glosses string")
+def add_sense(spark, lex):
+    rows = spark.createDataFrame([(1, ["n"], ["universe", "era"]), (1, ["n"], ["the world", "society"])], "seq int, pos array<string>, glosses array<string>")
+    return Lookups(patches.add_senses(rows)(lex)).sense_glosses(spark.createDataFrame([(1,)], "seq int")).select("seq", "ord", "glosses")
+
+
+@correction("add_gloss", [(2, "Japan; Nippon")], "seq int, glosses string")
+def add_gloss(spark, lex):
+    rows = spark.createDataFrame([(2, 0, "Nippon")], "seq int, sense_ord int, text string")
+    return Lookups(patches.add_glosses(rows)(lex)).sense_glosses(spark.createDataFrame([(2,)], "seq int")).select("seq", "glosses")
+
+
+@correction("add_conj", [(8, "わたし", "よむ", 2)], "seq int, text string, source_text string, conj_type int")
+def add_conj(spark, lex):
+    rows = spark.createDataFrame([(8, 7, None, 2, "v5m", False, False, [("わたし", "よむ")])], "seq int, from int, via int, conj_type int, pos string, neg boolean, fml boolean, readings array<struct<text:string,source_text:string>>")
+    made = patches.add_links(rows)(lex)
+    links = made.conjugation.where("seq = 8").select(F.col("id").alias("conj_id"), "seq")
+    return links.join(made.conj_source_reading, "conj_id").join(made.conj_prop.select("conj_id", "conj_type"), "conj_id").select("seq", "text", "source_text", "conj_type")
+
+
+@correction("find_conj", [("食べない",)], "text string")
+def find_conj(spark, lex):
+    keys = spark.createDataFrame([(13, 1, "v1", True, False)], "from int, conj_type int, pos string, neg boolean, fml boolean")
+    found = patches.find_links(lex, keys).join(lex.conjugation.select("id", "seq"), "id")
+    return lex.kanji_text.join(found.select("seq"), "seq").select("text")
+
+
+@correction("replace_reading_conj", [("くった",)], "text string")
+def replace_reading_conj(spark, lex):
+    made = patches.replace_prefix("kana", spark.createDataFrame([(13, "たべ", "くっ")], "from int, prefix string, new string"))(lex)
+    return made.kana_text.where("text = 'くった'").select("text")
+
+
+@correction("load_best_readings", [("日本", "にほん"), ("食べられた", "たべられた"), ("私", "わたくし")], "text string, best_kana string")
+def load_best_readings(spark, lex):
+    return patches.reset_best(lex).kanji_text.where("text IN ('日本', '食べられた', '私')").select("text", "best_kana")
+
+
+@correction("add_deha_ja_readings", [("ではない", 0), ("じゃない", 1)], "text string, ord int")
+def add_deha_ja_readings(spark, lex):
+    more = small_lexicon.Lexicon.of(spark, small_lexicon.assemble([*small_lexicon.ENTRIES, small_lexicon._derived(small_lexicon.D + 50, 2089020, 1, "cop", [("ではない", "だ")], True, False)]))
+    return patches.add_spoken_forms()(more).kana_text.where("text LIKE '%ない' AND seq = 10000050").select("text", "ord")
+
+
+@correction("get_all_readings", [(8, "私"), (8, "わたし"), (8, "わたくし")], "seq int, text string")
+def get_all_readings(spark, lex):
+    return patches.all_readings(lex, spark.createDataFrame([(8,)], "seq int"))
+
+
+@correction("pin_ambiguous_sense_prop_order", [(4, "n", 0), (4, "n-suf", 1)], "seq int, text string, ord int")
+def pin_ambiguous_sense_prop_order(spark, lex):
+    same = small_lexicon.Lexicon(lex.tables | {"sense_prop": lex.sense_prop.withColumn("ord", F.lit(0))})
+    return patches.distinct_order(same).sense_prop.where("seq = 4").select("seq", "text", "ord")
+
+
+@correction("kanji_info_json", [("食", "た:55.56%,しょく:44.44%", "eat", 2)], "text string, readings string, meanings string, grade int")
+def kanji_info_json(spark, lex):
+    made = kanji.documents(lex, spark.createDataFrame([("食",)], "text string"))
+    back = F.from_json("json", "text string, grade int, readings array<struct<reading:string,perc:string>>, meanings array<string>")
+    return made.select("text", back.alias("d")).select("text", F.array_join(F.transform("d.readings", lambda r: F.concat_ws(":", r["reading"], r["perc"])), ",").alias("readings"), F.array_join("d.meanings", ",").alias("meanings"), "d.grade")
+
+
+function("get_original_reading", [("がっ", True, "く", "かく"), ("ほん", False, None, "ほん")], "a string, b boolean, c string, out string")(kanji.original_reading)
