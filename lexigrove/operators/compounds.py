@@ -354,7 +354,7 @@ def with_counters(placed: DataFrame, spans: DataFrame) -> DataFrame:
     numerals = spans.where(F.col("text").rlike(f"^{t.CHARACTER_CLASSES['number']}{{1,{LONGEST_NUMBER}}}$")).select(F.col("run").alias("_run"), F.col("start").alias("_start"), F.col("stop").alias("_mid"), F.col("text").alias("_number"))
     units = placed.where(F.array_contains("posi", "ctr"))
     met = units.join(numerals, (F.col("run") == F.col("_run")) & (F.col("start") == F.col("_mid")))
-    reading = counter_reading(F.col("_number"), F.col("kana"))
+    reading = counter_reading(F.col("_number"), F.col("kana"), F.col("text"))
     return (
         met.withColumn("kana", reading)
         .where("kana IS NOT NULL")

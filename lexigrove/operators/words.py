@@ -61,3 +61,10 @@ def as_hiragana(words: DataFrame, features: DataFrame) -> DataFrame:
     found = folded.join(features, "text")
     kept = found.join(known, (found["_written"] == known["_written"]) & (found["seq"] == known["_seq"]), "left_anti")
     return kept.withColumn("text", F.col("_written")).select(*features.columns)
+
+
+def by_pattern(lexicon: Lexicon, pattern: str) -> DataFrame:
+    """(kana, kanji, common, place): readings that match, commonest first, with the kanji that goes with each."""
+    found = lexicon.kana_text.where(F.col("text").rlike(pattern)).select(F.col("text").alias("kana"), F.col("best_kanji").alias("kanji"), "common", "ordinal")
+    best = found.groupBy("kana", "kanji").agg(F.min(F.struct(F.when(F.col("common").isNull(), 2).when(F.col("common") == 0, 1).otherwise(0), "common", "ordinal")).alias("_at"))
+    return best.select("kana", "kanji", "_at.common", F.row_number().over(Window.partitionBy(F.left("kana", F.lit(1))).orderBy("_at", "kana", "kanji")).alias("place"))

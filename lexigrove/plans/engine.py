@@ -224,7 +224,13 @@ function("match_diff", [("食べる", "たべる", "食/た べる/べる"), ("
 function("number_to_kanji", [(0, "〇"), (1000, "千"), (11_000, "一万千"), (1234, "千二百三十四"), (12_423_000_430, "百二十四億二千三百万四百三十")], "a long, out string")(numerals.number_to_kanji)
 function("number_to_kana", [(0, "れい"), (300, "さんびゃく"), (3600, "さんぜんろっぴゃく"), (888, "はっぴゃくはちじゅうはち"), (10**12, "いっちょう")], "a long, out string")(numerals.number_to_kana)
 function("parse_number", [("二〇二〇", 2020), ("百万", 1_000_000), ("100万500", 1_000_500), ("１２３", 123), ("一X", None)], "a string, out long")(lambda a: numerals.parse_number(a).cast("long"))
-function("counter_join", [("三", "ほん", "さんぽん"), ("一", "ほん", "いっぽん"), ("八", "かい", "はっかい"), ("十", "ほん", "じゅっぽん"), ("百", "ほん", "ひゃっぽん")], "a string, b string, out string")(counting.counter_reading)
+function("counter_join", [("三", "ほん", "", "さんぽん"), ("三", "ほん", "本", "さんぼん"), ("一", "ほん", "本", "いっぽん"), ("八", "かい", "回", "はっかい"), ("十", "ほん", "本", "じゅっぽん"), ("百", "ほん", "本", "ひゃっぽん")], "a string, b string, c string, out string")(counting.counter_reading)
+function(
+    "special_counters",
+    [("一", "にん", "人", "ひとり"), ("二", "にん", "人", "ふたり"), ("三", "にん", "人", "さんにん"), ("二十", "さい", "歳", "はたち"), ("三", "にち", "日", "みっか"), ("四", "がつ", "月", "しがつ"), ("九", "つ", "つ", "ここのつ"), ("X", "にん", "人", None)],
+    "a string, b string, c string, out string",
+)(counting.counter_reading)
+function("counter_value", [("三", "本", "Value: 3"), ("二十三", "日", "23rd"), ("十一", "日", "11th")], "a string, b string, out string")(counting.counter_value)
 _WORDS = [("がっこう", "gakkō"), ("しんぶん", "shimbun"), ("まっちゃ", "matcha"), ("きんえん", "kin-en"), ("センター", "senta"), ("こんにちは", "konnichiha"), ("‌は", "wa"), ("っ", "!"), ("ー", "~")]
 function("romanize_word", _WORDS, _S)(romaji.romanize_column)
 for _method, _a, _out in (
@@ -274,7 +280,7 @@ def find_word_suffix(spark: SparkSession, d: str) -> DataFrame:
 
 
 _LINES = [(1, "Hello 世界！"), (2, "私は日本語を読んで"), (4, "私xセンター"), (5, "日本語を読みたい"), (6, "本を読んでいる"), (7, "三本"), (8, "食べたくなかった")]
-_ROMAJI = [(1, "Hello sekai! "), (2, "watashi ha nihongo wo yonde"), (4, "watashi x senta"), (5, "nihongo wo yomitai"), (6, "hon wo yondeiru"), (7, "sampon"), (8, "tabetakunakatta")]
+_ROMAJI = [(1, "Hello sekai! "), (2, "watashi ha nihongo wo yonde"), (4, "watashi x senta"), (5, "nihongo wo yomitai"), (6, "hon wo yondeiru"), (7, "sambon"), (8, "tabetakunakatta")]
 
 
 @known("romanize", _ROMAJI, "id int, romaji string")
@@ -531,3 +537,40 @@ def kanji_info_json(spark, lex):
 
 
 function("get_original_reading", [("がっ", True, "く", "かく"), ("ほん", False, None, "ほん")], "a string, b boolean, c string, out string")(kanji.original_reading)
+
+
+@known("find_kanji_for_pattern", [("にほん", "日本"), ("にっぽん", "日本"), ("にほんご", "日本語")], "kana string, kanji string")
+def find_kanji_for_pattern(spark: SparkSession, d: str) -> DataFrame:
+    return words.by_pattern(small_lexicon.lexicon(spark), "^に").select("kana", "kanji").where("kanji IS NOT NULL")
+
+
+_BREAKS = [("日本語", "1 2"), ("本世界", "2")]
+
+
+@known("kanji_breaks", _BREAKS, "run string, breaks string")
+def kanji_breaks(spark: SparkSession, d: str) -> DataFrame:
+    rows = [("日本語", 0, 2, "日本"), ("日本語", 0, 3, "日本語"), ("日本語", 2, 3, "語"), ("本世界", 0, 1, "本"), ("本世界", 1, 3, "世界"), ("食べ世", 1, 2, "べ")]
+    found = segment.kanji_breaks(spark.createDataFrame(rows, "run string, start int, stop int, text string"))
+    return found.select("run", F.array_join(F.transform("breaks", lambda i: i.cast("string")), " ").alias("breaks"))
+
+
+@known("kanji_break_penalty", [(21, "a", 11), (21, "b", 21), (20, "c", 22), (4, "a", 4), (6, "a", 5)], "score int, kind string, out int")
+def kanji_break_penalty(spark: SparkSession, d: str) -> DataFrame:
+    rows = [(21, "a", True, False, "語", ["n"], [4]), (21, "b", False, False, "語", ["n"], [4]), (20, "c", False, True, "不", ["pref"], [6]), (4, "a", True, True, "語", ["n"], [4]), (6, "a", True, True, "語", ["n"], [4])]
+    data = spark.createDataFrame(rows, "score int, kind string, at_start boolean, at_stop boolean, text string, posi array<string>, seqs array<int>")
+    return data.select("score", "kind", segment.break_cost(F.col("score"), F.col("at_start"), F.col("at_stop"), F.col("text"), F.col("posi"), F.col("seqs")).alias("out"))
+
+
+@known("cull_alternatives", [("日本語", 0, 3, "3")], "run string, start int, stop int, seqs string")
+def cull_alternatives(spark: SparkSession, d: str) -> DataFrame:
+    _, features, _ = _engine(spark)
+    solved = settled(segment.solve(spark.createDataFrame([("日本語",)], "run string"), features))
+    found = analyses.alternatives(solved)
+    return found.select("run", "start", "stop", F.array_join(F.transform("words", lambda w: w["seq"].cast("string")), ",").alias("seqs"))
+
+
+@known("ranked_paths", [("日本語", 0, "日本語"), ("日本語", 1, "日本 語")], "run string, rank int, words string")
+def ranked_paths(spark: SparkSession, d: str) -> DataFrame:
+    _, features, _ = _engine(spark)
+    solved = segment.solve(spark.createDataFrame([("日本語",)], "run string"), features)
+    return analyses.ranked_paths(solved).where("rank < 2").select("run", "rank", F.array_join("words", " ").alias("words"))

@@ -111,7 +111,7 @@ def test_suffixes_and_counters(spark, lexicon, features):
     for r in out.orderBy("id", "run_no", "token_no").collect():
         got.setdefault(r.id, []).append((r.token, r.kana))
     assert got[1][-1] == ("読みたい", "よみたい") and got[2][-1] == ("読んでいる", "よんでいる")
-    assert got[3] == [("三本", "さんぽん")] and got[4] == [("8本", "はっぽん")]
+    assert got[3] == [("三本", "さんぼん")] and got[4] == [("8本", "はっぽん")]
 
 
 def test_counting():
