@@ -63,3 +63,37 @@ def test_marks():
     blocks = [("私", "わたし"), ("は", "は"), ("本", "ほん")]
     assert [splits.moved(blocks, i) for i in range(4)] == [1, 3, 4, 6]
     assert splits.parsed_form("私 は 本")[0] == "私は本"
+
+
+def test_sinks(spark, tmp_path):
+    from lexigrove.sources.stores import write_documents
+
+    made = spark.createDataFrame([(1, "watashi wa")], "id int, output string")
+    write_documents(made, str(tmp_path / "text"), "romanize")
+    assert [r.value for r in spark.read.text(str(tmp_path / "text")).collect()] == ["watashi wa"]
+    write_documents(spark.createDataFrame([(1, '{"tokens":[]}')], "id int, output string"), str(tmp_path / "json"), "json-v2")
+    row = spark.read.schema("key int, document struct<tokens:array<string>>").json(str(tmp_path / "json")).first()
+    assert row.key == 1 and row.document.tokens == []
+
+
+def test_best_cuts():
+    """Many runs at once, against the path search of one."""
+    import random
+
+    import numpy as np
+
+    from lexigrove.plans import flagship
+
+    rng = random.Random(2)
+    for width in (1, 3, 7):
+        runs = [[(a, b, rng.randint(1, 90)) for a in range(width) for b in range(a + 1, width + 1) if rng.random() < 0.5] for _ in range(30)]
+        flat = [(k, *s) for k, segments in enumerate(runs) for s in segments] + [(29, 0, 0, 0)]
+        got = flagship.best_cuts(width, *(np.array(x) for x in zip(*flat, strict=True)), 3)
+        score, pieces, gaps = flagship.read_cut(got, width)
+        for k, segments in enumerate(runs):
+            want = segment.best_paths(width, sorted(segments), 3)
+            assert score[k][: len(want)].tolist() == [v for v, _ in want]
+            own = [sorted(segments)[i] for i in want[0][1]]
+            ties = [v for v, _ in segment.best_paths(width, sorted(segments), 2)]
+            if len(ties) < 2 or ties[0] != ties[1]:
+                assert (pieces[k][0], gaps[k][0]) == (len(own), width - sum(b - a for a, b, _ in own))
