@@ -330,8 +330,9 @@ def similar_lines(rows: DataFrame) -> DataFrame:
 
 
 def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph in a cluster or end of a bridge: _id, start, stop (words),
-    removed, keep_id (where the occurrence is that stays)."""
+    """Stretches of paragraphs in clusters and ends of bridges: _id, start, stop (words),
+    removed, keep_id (where the occurrence is that stays).  Paragraphs that meet and are kept in
+    the same document are one stretch."""
     small_batches(df.sparkSession)
     rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
     begun = written()
@@ -359,42 +360,47 @@ def clusters(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     removed = (F.col("_id") != F.col("keep_id")) | (F.col("start") != F.col("keep_start"))
     found = materialise(members.join(stays, "cluster").withColumn("removed", removed), "paragraph-units-kept")
     discard(begun, found)
-    columns = ["_id", "start", "stop", "removed", "keep_id"]
-    bridges = bridged(found)
-    here = bridges.select("_id", "start", "stop", F.lit(True).alias("removed"), "keep_id")
-    there = bridges.select(F.col("keep_id").alias("_id"), F.col("keep_start").alias("start"), F.col("keep_stop").alias("stop"), F.lit(False).alias("removed"), "keep_id")
-    return found.select(*columns).union(here).union(there)
-
-
-def bridged(found: DataFrame) -> DataFrame:
-    """_id, start, stop, keep_id, keep_start, keep_stop of the bridges."""
-    exact = found.where((F.col("node") == F.col("keep_node")) & (F.col("_id") != F.col("keep_id")))
-    exact = exact.groupBy("_id", "keep_id").agg(F.collect_set(F.struct("start", "stop", "keep_start")).alias("repeats"))
-    return exact.mapInArrow(_bridge_batches, "_id long, keep_id long, start int, stop int, keep_start int, keep_stop int")
+    exact = (F.col("node") == F.col("keep_node")) & (F.col("_id") != F.col("keep_id"))
+    rows = found.select("_id", "keep_id", "removed", "start", "stop", F.when(exact, F.col("keep_start")).otherwise(-1).alias("keep_start"))
+    sorted_ = rows.repartition("_id").sortWithinPartitions("_id", "keep_id")
+    return sorted_.mapInArrow(_stretch_batches, "_id long, start int, stop int, removed boolean, keep_id long")
+
+
+def merged(owner: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, start, stop, first member) of the intervals of each owner, those that meet joined."""
+    if not len(owner):
+        return owner, start, stop, owner
+    order = np.lexsort((start, owner))
+    owner, start, stop = owner[order], start[order].astype(np.int64), stop[order].astype(np.int64)
+    apart = int(stop.max()) + 2  # owners never meet
+    at = np.cumsum(np.concatenate(([0], owner[1:] != owner[:-1]))) * apart
+    reach = np.maximum.accumulate(stop + at)
+    begins = np.flatnonzero(np.concatenate(([True], (start + at)[1:] > reach[:-1])))
+    last = np.concatenate((begins[1:], [len(owner)])) - 1
+    return owner[begins], start[begins], (reach - at)[last], order[begins]
 
 
 def exact_runs(start: np.ndarray, stop: np.ndarray, keep_start: np.ndarray) -> list[tuple[int, int, int]]:
     """(start, stop, keep_start) of repeats; those that meet at one offset are joined."""
     offset = start - keep_start
-    order = np.lexsort((start, offset))
-    out: list[list[int]] = []
-    last = None
-    for k in order.tolist():
-        if out and last == offset[k] and start[k] <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], int(stop[k]))
-        else:
-            out.append([int(start[k]), int(stop[k]), int(keep_start[k])])
-        last = offset[k]
-    return sorted((a, b, c) for a, b, c in out)
+    of, begin, end, _ = merged(offset, start, stop)
+    return sorted(zip(begin.tolist(), end.tolist(), (begin - of).tolist(), strict=True))
 
 
 def bridges(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
     """(start, stop, keep_start, keep_stop): from each run as far as the similarity holds."""
     out = []
+    rest = [0]  # words of all runs from each one on
+    for start, stop, _ in reversed(runs):
+        rest.append(rest[-1] + stop - start)
+    rest.reverse()
     for i, (start, stop, keep_start) in enumerate(runs):
         keep_stop = keep_start + stop - start
         shared, best = stop - start - SHINGLE + 1, None
-        for begin, end, other in runs[i + 1 :]:
+        every = shared
+        for j, (begin, end, other) in enumerate(runs[i + 1 :], i + 1):
+            if (shared + rest[j]) * 100 < (every + rest[j]) * PERCENT:  # not even with all that follows
+                break
             over = max(0, stop - begin, keep_stop - other)
             if end - begin - over < SHINGLE:  # another order, or nothing new
                 continue
@@ -408,33 +414,45 @@ def bridges(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]
     return out
 
 
+def _whole_documents(batches):
+    """Columns of sorted batches, cut where the first column changes: a document is never in two of them."""
+    held: list[np.ndarray] | None = None
+    for batch in batches:
+        columns = [np.asarray(c.to_numpy(zero_copy_only=False)) for c in batch.columns]
+        if not len(columns[0]):
+            continue
+        if held is not None:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        last = int(np.searchsorted(columns[0], columns[0][-1]))
+        if last:
+            yield [c[:last] for c in columns]
+        held = [c[last:] for c in columns]
+    if held is not None:
+        yield held
+
+
 @tidy
-def _bridge_batches(batches):
+def _stretch_batches(batches):
+    """Paragraphs (_id, keep_id, removed, start, stop, keep_start; sorted) to stretches, and bridges between
+    exact repeats, which have a keep_start."""
     import pyarrow as pa
 
-    names = ("_id", "keep_id", "start", "stop", "keep_start", "keep_stop")
-    for batch in batches:
-        lists = batch.column("repeats")
-        edges, flat = lists.offsets.to_numpy(), lists.values
-        start, stop, keep_start = (flat.field(k).to_numpy() for k in range(3))
+    for key, keep, removed, start, stop, keep_start in _whole_documents(batches):
+        pair = np.cumsum(np.concatenate(([0], (key[1:] != key[:-1]) | (keep[1:] != keep[:-1]))))
+        of, begin, end, member = merged(pair * 2 + removed, start, stop)
+        out = [key[member], begin, end, removed[member], keep[member]]
         rows = []
-        for row, (key, keep) in enumerate(zip(batch.column("_id").to_pylist(), batch.column("keep_id").to_pylist(), strict=True)):
-            own = slice(edges[row], edges[row + 1])
+        repeats_ = np.flatnonzero(keep_start >= 0)
+        cuts = np.flatnonzero(np.concatenate(([True], pair[repeats_][1:] != pair[repeats_][:-1], [True]))) if len(repeats_) else [0]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            own = repeats_[a:b]
             runs = exact_runs(start[own], stop[own], keep_start[own])
-            rows += [(key, keep, *x) for x in bridges(runs)] if len(runs) > 1 else []
+            for x, y, u, v in bridges(runs) if len(runs) > 1 else ():
+                rows += [(key[own[0]], x, y, True, keep[own[0]]), (keep[own[0]], u, v, False, keep[own[0]])]
         if rows:
-            kinds = [pa.int64(), pa.int64(), *[pa.int32()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds, strict=True)], names=names)
-
-
-def _merge(spans: list) -> list[tuple[int, int]]:
-    out: list[list[int]] = []
-    for start, stop in sorted(spans):
-        if out and start <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], stop)
-        else:
-            out.append([start, stop])
-    return [(a, b) for a, b in out]
+            out = [np.concatenate((c, np.array(more, c.dtype))) for c, more in zip(out, zip(*rows, strict=True), strict=True)]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=["_id", "start", "stop", "removed", "keep_id"])
 
 
 @tidy
@@ -442,17 +460,26 @@ def _report_batches(batches):
     import pyarrow as pa
 
     for batch in batches:
-        rows = {"_id": batch.column("_id"), "n_repeated": [], "n_removed": [], "spans": [], "removed_spans": [], "kept_in": []}
-        for units in batch.column("units").to_pylist():
-            every = _merge([(u["start"], u["stop"]) for u in units])
-            gone = _merge([(u["start"], u["stop"]) for u in units if u["removed"]])
-            rows["n_repeated"].append(sum(b - a for a, b in every))
-            rows["n_removed"].append(sum(b - a for a, b in gone))
-            rows["spans"].append([f"{a}:{b}" for a, b in every])
-            rows["removed_spans"].append([f"{a}:{b}" for a, b in gone])
-            rows["kept_in"].append(sorted({u["keep_id"] for u in units}))
-        kinds = {"n_repeated": pa.int64(), "n_removed": pa.int64(), "spans": pa.list_(pa.string()), "removed_spans": pa.list_(pa.string()), "kept_in": pa.list_(pa.int64())}
-        yield pa.RecordBatch.from_pydict({k: pa.array(v, kinds[k]) if k in kinds else v for k, v in rows.items()})
+        n, lists = len(batch), batch.column("units")
+        edges, flat = lists.offsets.to_numpy(), lists.values
+        lo, hi = edges[0], edges[-1]
+        row = np.repeat(np.arange(n), np.diff(edges))
+        start, stop, keep = (flat.field(k).to_numpy()[lo:hi] for k in ("start", "stop", "keep_id"))
+        removed = np.asarray(flat.field("removed").to_numpy(zero_copy_only=False)[lo:hi], bool)
+        columns = [batch.column("_id")]
+        texts = []
+        for some in (slice(None), removed):
+            of, begin, end, _ = merged(row[some], start[some], stop[some])
+            columns.append(pa.array(np.bincount(of, end - begin, n).astype(np.int64)))
+            cuts = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+            names = [f"{a}:{b}" for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            texts.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(names, pa.string())))
+        order = np.lexsort((keep, row))
+        new = np.concatenate(([True], (row[order][1:] != row[order][:-1]) | (keep[order][1:] != keep[order][:-1]))) if len(row) else np.empty(0, bool)
+        kept = order[new] if len(row) else order
+        cuts = np.searchsorted(row[kept], np.arange(n + 1)).astype(np.int32)
+        texts.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(keep[kept])))
+        yield pa.RecordBatch.from_arrays([*columns, *texts], names=["_id", "n_repeated", "n_removed", "spans", "removed_spans", "kept_in"])
 
 
 def repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
