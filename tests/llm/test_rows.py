@@ -412,3 +412,41 @@ def test_pipeline(spark, documents, table_dir):
     out = corpus_pipeline.run(spark, table_dir).collect()
     assert out and all(r.round_trip and r.n_tokens == len(r.ids) for r in out)
     assert len({r.doc_id for r in out}) == len(out)
+
+
+COLUMNS = {
+    "op1": "doc_id n_shingles component_id n_copies n_links", "op2": "doc_id n_repeated n_removed spans removed_spans kept_in",
+    "op3": "doc_id held_out n_tokens n_known train_tokens base_score score", "op4": "doc_id source block place slot release deadline in_mix",
+    "op5": "doc_id n_lines n_dropped kept_sha256", "op6": "doc_id n_email n_ip n_card n_phone base_sha256 spans n_spans secrets",
+    "op7": "doc_id keep_id group_size kept text_sha256", "op8": "doc_id n_tokens ids_sha256 decoded_sha256",
+    "op9": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op10": "doc_id held_out lang_pred score",
+}
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_query(spark, table_dir, documents, nothing, tmp_path, name):
+    """The registered queries themselves, on odd rows and on an empty table."""
+    out = QUERIES[name](spark, table_dir)
+    assert out.columns == COLUMNS[name.split("_")[0]].split()
+    rows = out.collect()
+    if not name.startswith("op2"):  # which has rows for documents with a repeat only
+        assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r.doc_id for r in documents.select("doc_id").collect())
+    if name.startswith("op9"):
+        ids = [r.doc_id for r in documents.select("doc_id").collect()]
+        texts = {r.doc_id: r.text or "" for r in documents.collect() if ids.count(r.doc_id) == 1}
+        order = sorted(i for i in texts if i is not None)
+        for r in rows:
+            at = order.index(r.doc_id) if r.doc_id in order else -1
+            if 0 <= at < len(order) - 1 and order[at + 1] != 203 and r.doc_id < 202:
+                text, after = texts[r.doc_id], texts[order[at + 1]]
+                k = len(text) // 4
+                assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256((text[: len(text) - k] + after[:k]).encode()).hexdigest()
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    assert QUERIES[name](spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_of_nothing(spark, nothing, tmp_path):
+    import corpus_pipeline
+
+    nothing.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
