@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from ..functions import tables as t
+from ..functions.numerals import percentage
 
 
 def variants(reading: str, first: bool) -> dict[str, str]:
@@ -98,7 +99,7 @@ def reading_statistics(aligned: DataFrame) -> DataFrame:
 
 
 def share(n, total):
-    return F.when(total == 0, "--.--%").otherwise(F.format_string("%.2f%%", F.lit(100.0) * n / total))
+    return F.when(total == 0, "--.--%").otherwise(percentage(F.lit(100.0) * n / total))
 
 
 def original_reading(reading, voiced, last):

@@ -87,6 +87,13 @@ def test_number_columns(spark):
     assert value(spark, numerals.number_to_kana, 300) == "さんびゃく"
 
 
+def test_percentage(spark):
+    """As %.2f of C: ties to the even digit, and by the binary value, not by its shortest decimal form."""
+    values = [33.125, 3.375, 2.675, 1.005, 50.125, 99.995, 99.999, 0.0, 0.005, 100.0, 12345.675, *(100.0 * n / 640 for n in range(641)), *(100.0 * n / 4000 for n in range(4001))]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", numerals.percentage(F.col("v")).alias("p")).collect()
+    assert len(rows) == len(values) and [r.p for r in rows] == ["%.2f%%" % r.v for r in rows]
+
+
 @pytest.mark.parametrize(("word", "method", "want"), [
     ("がっこう", "hepburn_traditional", "gakkō"), ("しんぶん", "hepburn_traditional", "shimbun"), ("まっちゃ", "hepburn_traditional", "matcha"),
     ("きんえん", "hepburn_traditional", "kin-en"), ("センター", "hepburn_traditional", "senta"), ("こんにちは", "hepburn_traditional", "konnichiha"),

@@ -36,3 +36,15 @@ def test_shape(spark, duck, name):
     want = duck.sql(SQL[name])
     assert sorted(df.columns) == sorted(want.columns)
     assert canon(map(tuple, df.collect())) == canon(want.select(*[f'"{c}"' for c in df.columns]).fetchall())
+
+
+def test_reading_stats_of_ties(spark, tmp_path):
+    """Shares that lie halfway between two texts, and null keys."""
+    sizes = {1: (1, 31), 2: (3, 29), 3: (212, 428), 4: (107, 3893), 5: (1,), 6: (201, 19799), None: (1, 7)}
+    rows = [(key, "AN"[k] if key != 2 or k else None) for key, parts in sizes.items() for k, n in enumerate(parts) for _ in range(n)]
+    spark.createDataFrame(rows, "l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = shapes.reading_stats(spark, str(tmp_path))
+    want = con.sql(SQL["reading_stats"]).select(*got.columns).fetchall()
+    assert len(want) == 13 and canon(map(tuple, got.collect())) == canon(want)
