@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexigrove.llm import byte_bpe, language_id, mixing
-from lexigrove.llm.common import documents, materialise
+from lexigrove.llm.common import documents, in_written_order, materialise
 from lexigrove.llm.exact_dedup import drop_copies
 from lexigrove.llm.ngram_join import one_of_each
 from lexigrove.llm.queries import byte_vocabulary, piece_vocabulary
@@ -30,13 +30,14 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix, sources by their natural shares."""
+    """All documents in the order of the mix, sources by their natural shares: what encoded() goes by."""
     return mixing.mixed(docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and round_trip of each document."""
-    return byte_bpe.tokens(docs, *byte_vocabulary())
+    """doc_id, n_tokens, ids and round_trip of each document, in the order of the mix, along which
+    mix_order rises (with gaps)."""
+    return byte_bpe.tokens(in_written_order(docs, "mix_order"), *byte_vocabulary(), order_col="mix_order")
 
 
 STAGES = [

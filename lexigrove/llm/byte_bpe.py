@@ -224,22 +224,28 @@ def _token_batches(batches, rank_file: str, pattern: str):
             yield pa.RecordBatch.from_pydict(
                 {
                     "_id": batch.column(0).slice(at.start, len(part)),
+                    "_order": batch.column(2).slice(at.start, len(part)),
                     "ids": pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
                     "round_trip": [bpe.decode(x) == t.encode() for t, x in zip(part, ids, strict=True)],
                 }
             )
 
 
-def tokens(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids, and whether decoding the ids gave the text back.
+def tokens(
+    df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None
+) -> DataFrame:
+    """id, n_tokens, ids, and whether decoding the ids gave the text back; last ``order_col``, a
+    column of whole numbers, where it is named.  Rows stay in the order that they have.
 
     Null or empty text has no tokens; a null id stays null; repeated rows each
     give a row; other columns are ignored; an empty table gives an empty result.
     """
     small_batches(df.sparkSession)
-    rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    out = rows.mapInArrow(lambda batches: _token_batches(batches, rank_file, pattern), "_id long, ids array<int>, round_trip boolean")
-    return out.select(id_of(out["_id"]).alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip")
+    order = F.col(order_col).cast("long") if order_col else F.lit(None).cast("long")
+    rows = df.select(order_id(id_col).alias("_id"), text_of(text_col).alias("_text"), order.alias("_order"))
+    out = rows.mapInArrow(lambda batches: _token_batches(batches, rank_file, pattern), "_id long, _order long, ids array<int>, round_trip boolean")
+    last = [F.col("_order").alias(order_col)] if order_col else []
+    return out.select(id_of(out["_id"]).alias(id_col), F.size("ids").cast("long").alias("n_tokens"), "ids", "round_trip", *last)
 
 
 @tidy

@@ -8,6 +8,7 @@ import tempfile
 import threading
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,6 +110,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def in_written_order(df: DataFrame, name: str) -> DataFrame:
+    """The rows in the order in which Spark wrote them, with a column ``name`` that rises along it, with gaps.
+
+    A reader deals files and parts of files to its tasks by their size.  What is left of the order
+    is the number of the task in the name of a file, the number of the file where a task wrote
+    several, and the place of the row in it.  ``df`` is a Parquet table as it is read; rows that
+    are read from no file stay as they stand.  Files that Spark did not write come first, each in its own order.
+    """
+    try:
+        file = df.metadataColumn("_metadata")
+    except AnalysisException:
+        return df.withColumn(name, F.monotonically_increasing_id())
+    number = lambda pattern: F.regexp_extract(file["file_name"], pattern, 1).try_cast("long")
+    place = [number("^part-([0-9]+)").alias("_task"), number("-c([0-9]+)[.]").alias("_file"), file["file_name"].alias("_name"), file["row_index"].alias("_row")]
+    order = ["_task", "_file", "_name", "_row"]
+    dealt = df.select(F.struct("*").alias("row"), *place).repartitionByRange(*order).sortWithinPartitions(*order)
+    return dealt.select("row.*").withColumn(name, F.monotonically_increasing_id())
+
+
 def _tables() -> list[tuple[SparkSession, str]]:
     if not hasattr(_own, "tables"):
         _own.tables = []

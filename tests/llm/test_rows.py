@@ -450,3 +450,38 @@ def test_pipeline_of_nothing(spark, nothing, tmp_path):
 
     nothing.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("most", [0, 16])
+def test_encoding_goes_by_the_mix(spark, tmp_path, most):
+    """Documents are encoded in the order of the mix, though readers deal files out by size; by a task's only file or by several."""
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    rows = [(i, "ab c " * rng.randint(0, 400), "s%d" % min(2, i % 7)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("mix_order", F.lit("x")).withColumn("_metadata", F.lit("x"))
+    want = [r.doc_id for r in mixing.mix(docs).orderBy("slot", "place").select("row.doc_id").collect()]
+    mixed, path = corpus_pipeline.mixed_sources(spark, docs, ""), str(tmp_path / "mixed")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # which would make one file
+    try:
+        mixed.write.option("maxRecordsPerFile", most).parquet(path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    read = spark.read.parquet(path)
+    assert len(read.inputFiles()) > 3 and [r.doc_id for r in read.collect()] != want
+    for given in (read, mixed):  # written, and as it stands
+        out = corpus_pipeline.encoded(spark, given, "").collect()
+        assert [r.doc_id for r in out] == want != sorted(want)
+        assert all(a.mix_order < b.mix_order for a, b in zip(out, out[1:]))
+    spark.createDataFrame(out).write.parquet(str(tmp_path / "out"))
+    assert [r.doc_id for r in spark.read.parquet(str(tmp_path / "out")).orderBy("mix_order").collect()] == want
+
+
+def test_pipeline_goes_by_the_mix(spark, documents, table_dir):
+    import corpus_pipeline
+
+    out = corpus_pipeline.run(spark, table_dir).collect()
+    sources = {r.doc_id: r.source for r in documents.collect()}
+    left = spark.createDataFrame([(r.doc_id, sources[r.doc_id]) for r in out], "doc_id long, source string")
+    assert [r.doc_id for r in out] == [r.doc_id for r in mixing.mix(left).orderBy("slot", "place").select("row.doc_id").collect()]
+    assert all(a.mix_order < b.mix_order for a, b in zip(out, out[1:]))
