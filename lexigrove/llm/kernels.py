@@ -70,19 +70,30 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _UP, _DOWN = _power_tables(SLICE_BYTES)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)
+#: By byte; of A-Z, those of a-z.
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _GOLDEN)[_LOWER]
+
+
+def spaces(data: np.ndarray) -> np.ndarray:
+    """_SPACE[data], without a lookup for each byte."""
+    return (data == 0x20) | (data - np.uint8(0x09) < 5)
 
 
 def _slice_words(data: np.ndarray) -> np.ndarray:
     """Hashes of the words of one slice (at most SLICE_BYTES bytes)."""
-    space = _SPACE[data]
-    edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
-    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if not len(start):
+    space = np.concatenate(([True], spaces(data), [True]))
+    edge = np.flatnonzero(space[1:] != space[:-1])  # where words start and stop, by turns
+    if not len(edge):
         return np.empty(0, np.uint64)
+    start, stop = edge[::2], edge[1::2]
     with np.errstate(over="ignore"):
-        total = np.concatenate(([np.uint64(0)], np.cumsum(_BYTE[_LOWER[data]] * _UP[: len(data)], dtype=np.uint64)))
-        value = (total[stop] - total[start]) * _DOWN[start]
+        total = np.zeros(len(data) + 1, np.uint64)
+        own = total[1:]
+        np.take(_BYTE, data, out=own, mode="clip")  # all are inside; "raise" makes a copy
+        own *= _UP[: len(data)]
+        np.cumsum(own, out=own)
+        at = total[edge]
+        value = (at[1::2] - at[::2]) * _DOWN[start]
         return mix(value + (stop - start).astype(np.uint64) * _GOLDEN)
 
 

@@ -3,11 +3,14 @@
 import collections
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.llm import exact_dedup, fingerprint, line_dedup, linking, ngram_join, paragraphs
+from lexigrove.llm import exact_dedup, fingerprint, kernels, line_dedup, linking, ngram_join, paragraphs
 
 LAST = (1 << 63) - 1
 SPACES = " \t\n\x0b\f\r"
@@ -240,3 +243,75 @@ def test_bridges():
     assert paragraphs.bridges([(0, 20, 100), (21, 41, 121)]) == []  # 32 of 42 shingles
     assert paragraphs.bridges([(0, 20, 100), (21, 41, 121), (42, 142, 142)]) == [(0, 142, 100, 242), (21, 142, 121, 242)]
     assert paragraphs.bridges([(0, 30, 100), (31, 60, 50)]) == []
+
+
+def plain_bridges(runs):
+    """As paragraphs.bridges, run by run."""
+    out = []
+    for i, (start, stop, keep_start) in enumerate(runs):
+        keep_stop, shared, best = keep_start + stop - start, stop - start - 4, None
+        for begin, end, other in runs[i + 1 :]:
+            new = end - begin - max(0, stop - begin, keep_stop - other)
+            if new >= 5:
+                shared, stop, keep_stop = shared + new - 4, end, other + end - begin
+                if 10 * shared >= 8 * (stop - start + keep_stop - keep_start - 8 - shared):
+                    best = (start, stop, keep_start, keep_stop)
+        if best:
+            out.append(best)
+    return out
+
+
+def test_bridges_run_by_run():
+    rng = random.Random(13)
+    for _ in range(300):
+        runs, far = [], rng.choice([40, 400, 4000])
+        for _ in range(rng.randrange(40)):
+            start, n = rng.randrange(far), rng.choice([20, 20, 21, 25, 60])
+            runs.append((start, start + n, max(0, start + rng.choice([0, 0, 0, 1, -2, -30, 50]))))
+        runs.sort()
+        assert paragraphs.bridges(runs) == plain_bridges(runs)
+
+
+def test_bridges_of_a_text_that_repeats_itself():
+    """20,000 runs that all repeat one passage: their pairs are not gone through one by one (which took half a minute)."""
+    began = time.process_time()
+    n = 20_000
+    got = paragraphs.bridges([(k, k + 20, 7) for k in range(n)] + [(n + 19, n + 79, 27)])
+    assert got == [(k, n + 79, 7, 87) for k in range(n - 11, n)]  # 72 of up to 90 shingles
+    assert time.process_time() - began < 10
+
+
+def test_runs_of_many_pairs():
+    pair, start, keep = (np.array(x) for x in ([0, 0, 0, 1, 1, 5], [0, 10, 40, 40, 0, 7], [100, 110, 90, 90, 3, 0]))
+    got = paragraphs.exact_runs(pair, start, start + 20, keep)
+    assert list(zip(*(x.tolist() for x in got), strict=True)) == [(0, 0, 30, 100), (0, 40, 60, 90), (1, 0, 20, 3), (1, 40, 60, 90), (5, 7, 27, 0)]
+    assert [len(x) for x in paragraphs.exact_runs(*[np.empty(0, np.int64)] * 4)] == [0] * 4
+
+
+def test_whole_documents_of_batches():
+    """Batches are taken together, but a document is never in two of the parts."""
+    for most in (1, 7, 50, 10**6):
+        key = np.sort(np.random.default_rng(most).integers(0, 30, 400))
+        batches = [pa.RecordBatch.from_pydict({"_id": key[k : k + 9], "at": np.arange(k, min(k + 9, 400))}) for k in range(0, 400, 9)]
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(paragraphs, "OUT_ROWS", most)
+            parts = list(paragraphs._whole_documents(iter(batches)))
+        assert np.concatenate([x for x, _ in parts]).tolist() == key.tolist() and np.concatenate([x for _, x in parts]).tolist() == list(range(400))
+        assert all(a[-1] < b[0] for (a, _), (b, _) in zip(parts[:-1], parts[1:], strict=True))
+        assert len(parts) == 1 if most > 400 else len(parts) > 1
+
+
+def test_node_filter_on_rows(spark):
+    """Rows whose bit is set stay, whatever the sign of their node; few others do."""
+    rng = random.Random(14)
+    nodes = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(2000)] + [-1, 0, (1 << 63) - 1, -(1 << 63)]
+    rows = spark.createDataFrame([(x,) for x in nodes], "node long")
+    some = spark.createDataFrame([(x,) for x in nodes[1000:]], "node long")
+    got = [r.node for r in paragraphs._where_maybe(rows, "node", paragraphs._node_bits(some, "node")).collect()]
+    assert set(nodes[1000:]) <= set(got) and len(got) < 1100
+    assert paragraphs._where_maybe(rows, "node", paragraphs._node_bits(some.limit(0), "node")).count() == 0
+
+
+def test_white_space_of_bytes():
+    every = np.arange(256, dtype=np.uint8)
+    assert bytes(every[kernels.spaces(every)]) == b"\t\n\x0b\x0c\r "
